@@ -73,3 +73,12 @@ def cut(df: DataFrame) -> DataFrame:
 def documents(df: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and the named columns; all else, whatever its name, is left behind."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Joins rows to what was aggregated from them by the same keys, a hot key's rows being split over many tasks.
+
+    A plain join would use the aggregate's partitioning as it is, which adaptive execution can't split. With a digest of
+    the keys as one more key both sides are dealt anew."""
+    key = F.xxhash64(*keys)
+    return rows.withColumn("_spread", key).join(groups.withColumn("_spread", key), [*keys, "_spread"], how).drop("_spread")

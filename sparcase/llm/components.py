@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -14,9 +14,9 @@ def _stars(links: DataFrame) -> DataFrame:
     that a hub is never gathered in one task."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = spread_join(large, least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

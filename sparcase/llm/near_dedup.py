@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    member = common.cut(keys.join(hubs, "key"))  # rows of the buckets of two texts or more
+    member = common.cut(common.spread_join(keys, hubs, "key"))  # rows of the buckets of two texts or more
     pairs = common.cut(member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     own = nodes.join(member.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("text_id"), F.col("doc_id").alias("first_id"))
     named = texts.withColumn("node", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
@@ -264,7 +264,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     placed = rows.select("row_id", "doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    out = placed.join(classes, "comp")
+    out = common.spread_join(placed, classes, "comp")
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept"), F.col("node").alias("text_id"))
 
 

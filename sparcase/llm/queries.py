@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, exact_dedup, html_text, packing, quality_model, quality_rules, secret_scan, token_counts
+from . import bpe_automaton, exact_dedup, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_counts
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents")).drop("text_id")
+
+
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -42,9 +46,24 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_cost_packing, op4_quality_classifier, op5_token_counts, op6_quality_rules, op7_html_text, op8_secret_scan, op9_bpe_automaton)
+    for f in (
+        op1_exact_dedup,
+        op2_minhash_dedup,
+        op3_cost_packing,
+        op4_quality_classifier,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_html_text,
+        op8_secret_scan,
+        op9_bpe_automaton,
+        op10_pii,
+    )
 }
 
 ORACLES: dict[str, str] = {
