@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +71,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in as few partitions as its number of rows asks for, so that small tables don't leave many small files behind
+    each exchange. Larger tables get more, without end."""
+    return df.coalesce(max(2, -(-rows // each)))
+
+
 def documents(df: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and the named columns; all else, whatever its name, is left behind."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
@@ -82,3 +89,51 @@ def spread_join(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inne
     the keys as one more key both sides are dealt anew."""
     key = F.xxhash64(*keys)
     return rows.withColumn("_spread", key).join(groups.withColumn("_spread", key), [*keys, "_spread"], how).drop("_spread")
+
+
+#: Bits of the membership filter: 8 MB in 2,048 rows, at any scale. When it fills up it lets more pass, no fewer.
+FILTER_BITS = 1 << 26
+
+
+def flag_members(rows: DataFrame, key: str, members: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """rows with a flag that is true where the key may be one of members' keys, and false only where it isn't.
+
+    Rows without the flag needn't be moved to be compared with members. The filter is a bitmap of hashed keys."""
+    hashed = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = members.select(hashed.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    found = rows.withColumn("_h", hashed).withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_place", F.bitmap_bit_position("_h")).join(F.broadcast(bits), "_bucket", "left")
+    test = F.expr("coalesce(cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(_place % 8 as int)), 0) <> 0")
+    return found.withColumn(flag, test).drop("_h", "_bucket", "_place", "_bits")
+
+
+def text_key(text: str = "text") -> F.Column:
+    """16 bytes of a text's SHA-256 digest, null counting as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that decisions (doc_id, text_id, kept) keep; of rows alike in doc_id and
+    text, one. Only texts of which a row is dropped are compared, so all others aren't moved."""
+    flagged = flag_members(docs.withColumn("_text", text_key()), "_text", decisions.where("not kept").select(F.col("text_id").alias("_text")))
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_id").alias("_kept_text"))
+    some = flagged.where("_maybe")
+    some = some.join(kept, some["doc_id"].eqNullSafe(kept["_kept_id"]) & (some["_text"] == kept["_kept_text"]), "left_semi").dropDuplicates(["doc_id", "_text"])
+    return flagged.where("not _maybe").unionByName(some).drop("_text", "_maybe")
+
+
+_CACHES: list = []
+
+
+def worker_cache(make):
+    """A value of its own for each Python worker and argument. Making one clears those of the other operators, so that a
+    worker holds one operator's tables at a time."""
+    cached = lru_cache(maxsize=1)(make)
+    _CACHES.append(cached)
+
+    def get(*args):
+        for other in _CACHES:
+            if other is not cached and other.cache_info().currsize:
+                other.cache_clear()
+        return cached(*args)
+
+    return get

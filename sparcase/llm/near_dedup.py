@@ -7,12 +7,14 @@ of near copies, whose shingles are therefore frequent, from drifting apart over
 
 Improved consistent weighted sampling (Ioffe 2010) draws SAMPLES samples a document; two documents agree in each with
 the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples make the buckets: two texts at a
-similarity of 0.8 share none with a probability of 1e-5.
-
-A bucket is compared star-wise: all its texts with one of them. Verified links join texts into classes. Where a bucket
-still holds texts of several classes, the pairs across classes follow: all of them at once if they are few for the
-bucket rows at hand, else another star round first. So no pair of a bucket is left undecided, and a bucket of thousands
-of copies takes a few comparisons for each of them.
+similarity of 0.8 share none with a probability of 2e-4, at 0.85 of 7e-6.
+
+Buckets are compared in two steps. First star-wise: all texts of a bucket with its hub. Verified links join texts into
+classes. Then, where a bucket still holds texts of several classes, its pairs across classes: in blocks of texts, by
+their samples, of which at least NEAR of the SAMPLES must agree (a pair at 0.8 passes with a probability of 0.9998) and,
+in buckets of more than LARGE texts, at least NEARER of MORE further ones (0.9999); what passes is verified, in large
+buckets there and then. So every pair of a bucket is either decided or of one class already; a bucket of thousands
+of copies makes no pairs but those that are links.
 """
 
 from __future__ import annotations
@@ -33,16 +35,20 @@ from . import common
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 FLOOR = 0.7
 FREQUENCY_BITS, FREQUENCY_BLOCK = 20, 1024
 #: Rows of the table of random draws; a shingle's row for each sample is taken from its hash.
 DRAW_BITS = 14
 KEEP = 300_000
-#: Pairs across classes that may be made at once, for each row of the buckets; star rounds at most before all are.
-PAIRS_A_ROW, STAR_ROUNDS = 4, 6
+#: Orders by which buckets draw their hubs; texts in a block; samples that must agree for a pair to be verified.
+HUBS, BLOCK, NEAR = 4, 1024, 40
+LARGE, MORE, NEARER = 64, 384, 276
 WORD = re.compile(r"[^\W_]+")
+#: The same words, faster, in lower-case texts of these characters.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eß-öø-ÿ]*")
+PLAIN_WORD = re.compile(r"[a-z0-9ß-öø-ÿ]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 
@@ -54,15 +60,15 @@ class Shingler:
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = WORD.findall(text.lower())
+        low = text.lower()
+        words = (PLAIN_WORD if PLAIN.fullmatch(low) else WORD).findall(low)
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         known = self.known
         if len(known) > KEEP:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
         ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = max(1, len(ids) - WORDS + 1)
         keys = np.zeros(n, dtype=np.uint64)
@@ -73,9 +79,15 @@ class Shingler:
         return np.unique(keys, return_counts=True)
 
 
+@common.worker_cache
+def shared_shingler() -> Shingler:
+    """One per Python worker."""
+    return Shingler()
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's part of the table of document frequencies, in blocks; block -1: texts with words."""
-    table, texts, shingles = np.zeros(1 << FREQUENCY_BITS, dtype=np.uint32), 0, Shingler()
+    table, texts, shingles = np.zeros(1 << FREQUENCY_BITS, dtype=np.uint32), 0, shared_shingler()
     for batch in batches:
         for part in common.blocks(batch):
             found = [shingles(t)[0] for t in part.column("text").to_pylist()]
@@ -117,13 +129,13 @@ def shingle_weights(docs: DataFrame, floor: float = FLOOR) -> np.ndarray:
     return np.log(floor + (1 - floor) * idf).astype(np.float32)
 
 
-@lru_cache(maxsize=1)
-def _draws(seed: int = 11) -> tuple[np.ndarray, ...]:
-    """r and ln c, of Gamma(2, 1), and beta, uniform, for each sample and row; odd factors for the rows' hashes."""
+@lru_cache(maxsize=2)
+def _draws(many: int = SAMPLES, bits: int = DRAW_BITS, seed: int = 11) -> tuple[np.ndarray, ...]:
+    """r, 1 / r and ln c, r and c being of Gamma(2, 1), and beta, uniform, for each sample and row; odd factors for the rows' hashes."""
     rng = np.random.default_rng(seed)
-    shape = (SAMPLES, 1 << DRAW_BITS)
-    r = rng.gamma(2, 1, shape).astype(np.float32)
-    return r, np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, dtype=np.float32), rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shape = (many, 1 << bits)
+    r = np.maximum(rng.gamma(2, 1, shape), 1e-4).astype(np.float32)
+    return r, np.float32(1) / r, np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, dtype=np.float32), rng.integers(0, 1 << 63, many, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def weighted(text: str, shingles: Shingler, log_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +144,28 @@ def weighted(text: str, shingles: Shingler, log_weights: np.ndarray) -> tuple[np
     return keys, log_weights[(keys >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)] + np.log(count).astype(np.float32)
 
 
-def sample(features: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """SAMPLES consistent weighted samples of each document, all having features: hashes of (shingle, step)."""
-    r, log_c, beta, factor = _draws()
+def sample(features: list[tuple[np.ndarray, np.ndarray]], many: int = SAMPLES, bits: int = DRAW_BITS, seed: int = 11) -> np.ndarray:
+    """Consistent weighted samples of each document, all having features: hashes of (shingle, step)."""
+    r, inverse, log_c, beta, factor = _draws(many, bits, seed)
     keys, weight = np.concatenate([k for k, _ in features]), np.concatenate([w for _, w in features])
     sizes = np.array([len(k) for k, _ in features])
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.empty((len(sizes), SAMPLES), dtype=np.uint64)
-    for k in range(SAMPLES):
-        row = ((keys * factor[k]) >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
-        rk, bk = r[k][row], beta[k][row]
-        step = np.floor(weight / rk + bk)
-        log_a = log_c[k][row] - rk * (step - bk + np.float32(1))
+    out = np.empty((len(sizes), many), dtype=np.uint64)
+    for k in range(many):
+        row = keys * factor[k]
+        row >>= np.uint64(64 - bits)
+        row = row.view(np.int64)
+        bk = beta[k].take(row)
+        step = inverse[k].take(row)
+        step *= weight
+        step += bk
+        np.floor(step, out=step)
+        bk -= step
+        bk -= np.float32(1)
+        bk *= r[k].take(row)
+        bk += log_c[k].take(row)
+        log_a = bk  # ln c - r * (step - beta + 1)
         least = np.minimum.reduceat(log_a, starts)
         at = np.flatnonzero(log_a == least[owner])
         at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]]  # of equals the shingle of the smallest hash
@@ -167,7 +188,7 @@ def bands(samples: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch], log_weights) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    row, shingles = TaskContext.get().partitionId() << 36, Shingler()
+    row, shingles = TaskContext.get().partitionId() << 36, shared_shingler()
     kind = pa.list_(pa.int64())
     for batch in batches:
         for part in common.blocks(batch, limit=1_000_000):
@@ -175,11 +196,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], log_weights) -> Iterator[pa.R
             features = [weighted(t, shingles, log_weights.value) for t in texts]
             some = [i for i, (k, _) in enumerate(features) if len(k)]
             keys: list[list[int]] = [[] for _ in texts]
+            brief, packed = [b""] * len(texts), [b""] * len(texts)
             if some:
-                for i, x in zip(some, bands(sample([features[i] for i in some])).tolist()):
-                    keys[i] = x
+                drawn = sample([features[i] for i in some])
+                for i, x, y in zip(some, bands(drawn), (drawn >> np.uint64(48)).astype("<u2")):
+                    keys[i], packed[i], brief[i] = x.tolist(), x.tobytes(), y.tobytes()
             node = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
-            yield pa.record_batch([pa.array(range(row, row + len(texts)), pa.int64()), part.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, kind)], names=["row_id", "doc_id", "node", "bands"])
+            yield pa.record_batch([pa.array(range(row, row + len(texts)), pa.int64()), part.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(brief, pa.binary()), pa.array(packed, pa.binary())], names=["row_id", "doc_id", "node", "bands", "brief", "packed"])
             row += len(texts)
 
 
@@ -196,7 +219,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], log_weights, least: float) -> Iterator[pa.RecordBatch]:
-    shingles, last, kept = Shingler(), None, None
+    shingles, last, kept = shared_shingler(), None, None
     for batch in batches:
         good = []
         for i in range(batch.num_rows):
@@ -207,6 +230,83 @@ def _verify(batches: Iterator[pa.RecordBatch], log_weights, least: float) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many samples agree, of each row of a with each of b."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for k in range(a.shape[1]):
+        out += a[:, k, None] == b[None, :, k]
+    return out
+
+
+def _block_pairs(rows: list[tuple], log_weights: np.ndarray, least: float) -> Iterator[tuple[bytes, bytes, bool]]:
+    """Pairs across classes that agree in enough samples, of one block or between two, and whether they are verified. A
+    pair that shares several buckets comes from the first of them alone."""
+    sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+    two = bool(sides[1])
+    left, right = sides if two else (sides[0], sides[0])
+    if not left:
+        return
+    table = lambda side, at, kind: np.frombuffer(b"".join(r[at] for r in side), kind).reshape(len(side), -1)
+    i, j = np.nonzero(agreeing(table(left, 3, "<u2"), table(right, 3, "<u2")) >= NEAR)
+    comps = {c: n for n, c in enumerate({r[2] for r in rows})}
+    of = lambda side: np.array([comps[r[2]] for r in side])
+    good = of(left)[i] != of(right)[j]
+    if not two:
+        good &= i < j
+    i, j = i[good], j[good]
+    band, (keys, others) = rows[0][5], (table(left, 4, "<i8"), table(right, 4, "<i8"))
+    more = [table(side, 6, "u1") for side in (left, right)] if all(r[6] for r in rows) else None
+    known, shingles = {}, shared_shingler()
+    for at in range(0, len(i), 100_000):
+        x, y = i[at : at + 100_000], j[at : at + 100_000]
+        good = ~(keys[x, :band] == others[y, :band]).any(axis=1)
+        x, y = x[good], y[good]
+        if more:
+            good = (more[0][x] == more[1][y]).sum(axis=1) >= NEARER
+            x, y = x[good], y[good]
+        for p, q in zip(x.tolist(), y.tolist()):
+            a, b = left[p][1], right[q][1]
+            if more:
+                for r in (left[p], right[q]):
+                    if r[1] not in known:
+                        known[r[1]] = weighted(r[7], shingles, log_weights)
+                if jaccard(known[a], known[b]) < least:
+                    continue
+            yield max(a, b), min(a, b), bool(more)
+
+
+def _across(batches: Iterator[pa.RecordBatch], log_weights, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and pair of blocks. Memory is bounded by two blocks."""
+    last, rows, found = None, [], []
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "sure"])
+
+    for batch in batches:
+        for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "comp", "brief", "bands", "band", "more", "text"))):
+            if (key, i, j) != last:
+                found += _block_pairs(rows, log_weights.value, least)
+                last, rows = (key, i, j), []
+                if len(found) > 50_000:
+                    yield out()
+                    found = []
+            rows.append(tuple(row))
+    found += _block_pairs(rows, log_weights.value, least)
+    yield out()
+
+
+def _more_samples(batches: Iterator[pa.RecordBatch], log_weights) -> Iterator[pa.RecordBatch]:
+    """node, text and MORE further samples, of eight bits each."""
+    shingles = shared_shingler()
+    for batch in batches:
+        for part in common.blocks(batch, limit=500_000):
+            drawn = sample([weighted(t, shingles, log_weights.value) for t in part.column("text").to_pylist()], MORE, 12, 12)
+            yield pa.record_batch([part.column("node"), part.column("text"), pa.array([x.tobytes() for x in (drawn >> np.uint64(56)).astype("u1")], pa.binary())], names=["node", "text", "more"])
+
+
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = FLOOR, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row: doc_id, class_id, class_size, kept, text_id.
 
@@ -218,51 +318,53 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
     spark = docs.sparkSession
     texts = common.documents(docs, id_col=id_col, text_col=text_col)
     log_weights = spark.sparkContext.broadcast(shingle_weights(texts, floor))
-    rows = common.cut(common.map_batches(texts, partial(_signatures, log_weights=log_weights), "row_id long, doc_id long, node binary, bands array<long>"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    member = common.cut(common.spread_join(keys, hubs, "key"))  # rows of the buckets of two texts or more
-    pairs = common.cut(member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    own = nodes.join(member.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("text_id"), F.col("doc_id").alias("first_id"))
-    named = texts.withColumn("node", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = common.cut(common.map_batches(texts, partial(_signatures, log_weights=log_weights), "row_id long, doc_id long, node binary, bands array<long>, brief binary, packed binary"))
+    n = rows.count()
+    nodes = common.few(rows, n).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.first("packed").alias("packed"))
+    keys = common.few(nodes, n).select("node", F.posexplode("bands").alias("band", "key"))
+    # each bucket's hub is drawn by one of HUBS orders, so that a group of copies is compared with several of its texts
+    drawn = F.struct(F.xxhash64("node", F.col("band") % HUBS).alias("h"), F.col("node"))
+    hubs = keys.groupBy("key").agg(F.min(drawn)["node"].alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    member = common.cut(common.spread_join(keys.select("node", "band", "key"), hubs, "key"))  # rows of the buckets of two texts or more
+    many = member.count()
+    member = common.few(member, many)
+    pairs = member.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    pairs = common.cut(common.few(pairs, many))
+    own = common.cut(common.few(nodes.select("node", "doc_id").join(member.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("text_id"), F.col("doc_id").alias("first_id")), n))
+    # texts of the buckets: of each one row, that of its smallest id. Rows that can't be among them aren't moved
+    named = common.flag_members(texts.withColumn("node", common.text_key()), "node", own.select(F.col("text_id").alias("node"))).where("_maybe")
     wanted = named.join(own, (F.col("node") == F.col("text_id")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    text = common.cut(wanted.dropDuplicates(["node", "doc_id"]).select("node", "text"))
+    bucket_text = common.cut(wanted.dropDuplicates(["node", "doc_id"]).select("node", "text"))
 
-    def links_of(some: DataFrame) -> DataFrame:
+    def links_of(some: DataFrame, first: bool) -> DataFrame:
+        text = bucket_text
+        if not first:  # later rounds need few of the texts
+            text = common.flag_members(text, "node", some.select(F.explode(F.array("a", "b")).alias("node"))).where("_maybe").select("node", "text")
         a = some.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = a.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return common.cut(common.map_batches(both, partial(_verify, log_weights=log_weights, least=similarity), "a binary, b binary"))
 
-    links = links_of(pairs)
-    for turn in range(STAR_ROUNDS + 1):
-        comps = components(links)
-        placed = member.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("classes > 1")
-        held = common.cut(placed.join(mixed.select("key"), "key", "left_semi"))
-        rows_, cross = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).head()
-        if not rows_:
-            break
-        last = cross <= PAIRS_A_ROW * rows_ or turn == STAR_ROUNDS
-        if last:
-            other = held
-        else:
-            pick = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)))
-            other = held.groupBy("key").agg(pick.alias("p")).select("key", "p.node", "p.comp")
-        other = other.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        across = held.join(other, "key").where((F.col("comp") != F.col("comp_b")) & ((F.col("node") > F.col("b")) if last else F.lit(True)))
-        new = across.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        new = common.cut(new.join(pairs, ["a", "b"], "left_anti"))
-        found = links_of(new)
-        if last and found.isEmpty():
-            break
-        links, pairs = common.cut(links.unionByName(found)), common.cut(pairs.unionByName(new))
-        if last:
-            comps = components(links)
-            break
+    links = links_of(pairs, True)
+    comps = components(links)
+    placed = common.cut(common.few(member.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp")), many))
+    sizes = common.few(placed, many).groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    mixed = common.few(sizes, many).where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), (F.col("n") > LARGE).alias("large"))
+    brief = nodes.select("node", "brief", F.col("packed").alias("bands")).join(own.select(F.col("text_id").alias("node")), "node", "left_semi")
+    held = common.cut(common.few(common.spread_join(common.few(placed, many), mixed, "key"), many))
+    held = common.few(held, many).join(common.few(brief, n), "node")
+    large = bucket_text.join(held.where("large").select("node").distinct(), "node", "left_semi")
+    more = common.cut(common.few(common.map_batches(large, partial(_more_samples, log_weights=log_weights), "node binary, text string, more binary"), n))
+    none = [F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("more")]
+    held = held.where("large").join(more, "node").unionByName(held.where("not large").select("*", *none))
+    block = held.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "comp", "brief", "bands", "band", "more", "text")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = common.cut(common.few(common.map_batches(dealt, partial(_across, log_weights=log_weights, least=similarity), "a binary, b binary, sure boolean"), many))
+    found = common.few(found, many)
+    new = common.cut(common.few(found.where("not sure").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), many))
+    comps = components(links.unionByName(found.where("sure").select("a", "b")).unionByName(links_of(common.few(new, many), False)))
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
-    placed = rows.select("row_id", "doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = common.few(common.few(rows, n).select("row_id", "doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), n)
     classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
     out = common.spread_join(placed, classes, "comp")
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept"), F.col("node").alias("text_id"))
@@ -270,7 +372,4 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows alike in doc_id and text, one."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_id").alias("_kept_text")).distinct()
-    keyed = docs.withColumn("_text", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_text"] == kept["_kept_text"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return common.keep_rows(docs, near_dedup(docs))
