@@ -13,7 +13,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,18 @@ FIT_ROWS = 20_000
 KEEP = 400_000
 
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """For each entry, NONZERO places of +1 or -1."""
+@lru_cache(maxsize=1)
+def index_places(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry, the NONZERO places of its index vector and their signs."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((ENTRIES, SIZE), dtype=np.float32)
     places = np.argsort(rng.random((ENTRIES, SIZE)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, places, rng.choice(np.array([-1, 1], dtype=np.float32), (ENTRIES, NONZERO)), axis=1)
+    return places.astype(np.int64), rng.choice(np.array([-1.0, 1.0]), (ENTRIES, NONZERO))
+
+
+def index_vectors(seed: int = 7) -> np.ndarray:
+    places, signs = index_places(seed)
+    out = np.zeros((ENTRIES, SIZE), dtype=np.float32)
+    np.put_along_axis(out, places, signs.astype(np.float32), axis=1)
     return out
 
 
@@ -47,14 +54,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-_RUNS = ((re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0"))
+_CLASS = str.maketrans({**{chr(c): "a" for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]}, **{chr(c): "A" for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]}, **{str(d): "0" for d in range(10)}})
+_RUN = re.compile(r"(.)\1+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
-def shape_of(word: str) -> str:
-    """Runs of small letters, capitals and digits become a, A and 0; other characters stay, at most eight of them."""
-    for pattern, mark in _RUNS:
-        word = pattern.sub(mark, word)
-    return word[:8]
+def _translate(word: str) -> str:
+    """Small letters, capitals and digits as a, A and 0."""
+    return word.translate(_CLASS)
+
+
+def _bucket(text: str, bits: int) -> int:
+    return zlib.crc32(text.encode(errors="replace")) & ((1 << bits) - 1)
+
+
+@lru_cache(maxsize=100_000)
+def _shape_entries(shape: str) -> tuple[int, int]:
+    """The entries of a shape (runs of a character being one, at most eight in all), alone and as a repetition."""
+    base = 1 << WORD_BITS
+    return base + _bucket(shape, SHAPE_BITS), base + _bucket(shape + "=", SHAPE_BITS)
 
 
 class Words:
@@ -62,62 +80,60 @@ class Words:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.codes: list[tuple[int, int, int]] = []
+        self.codes = np.empty((KEEP, 3), dtype=np.int64)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEEP:
-            self.known, self.codes = {}, []
-        for w in words:
-            if w not in self.known:
-                self.known[w] = len(self.codes)
-                letters = re.sub(r"[\W\d_]+", "", w).lower()
-                shape = shape_of(w)
-                self.codes.append((zlib.crc32(letters.encode(errors="replace")) & ((1 << WORD_BITS) - 1), self._shape(shape), self._shape(shape + "=")))
-
-    @staticmethod
-    def _shape(shape: str) -> int:
-        return (1 << WORD_BITS) + (zlib.crc32(shape.encode(errors="replace")) & ((1 << SHAPE_BITS) - 1))
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > len(self.codes):
+            known.clear()
+            new = list(words)
+            if len(new) > len(self.codes):
+                self.codes = np.empty((len(new), 3), dtype=np.int64)
+        first = len(known)
+        known.update(zip(new, range(first, first + len(new))))
+        if new:
+            letters = [w if w.isalpha() else _OTHER.sub("", w) for w in new]
+            self.codes[first : first + len(new), 0] = [_bucket(w.lower(), WORD_BITS) for w in letters]
+            self.codes[first : first + len(new), 1:] = [_shape_entries(_RUN.sub(r"\1", w)[:8]) for w in map(_translate, new)]
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word entries and shape entries of all texts in a row, and the number of words of each text."""
         split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
-        get = self.known.__getitem__
-        ids = np.fromiter((i for words in split for i in map(get, words)), dtype=np.int64)
-        table = np.array(self.codes, dtype=np.int64).reshape(-1, 3)
-        counts = np.array([len(w) for w in split], dtype=np.int64)
+        flat = list(chain.from_iterable(split))
+        self.learn(set(flat))
+        ids = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        counts = np.array(list(map(len, split)), dtype=np.int64)
         same = np.zeros(len(ids), dtype=bool)
         same[1:] = ids[1:] == ids[:-1]
         starts = np.cumsum(counts) - counts
         same[starts[counts > 0]] = False
-        return table[ids, 0], np.where(same, table[ids, 2], table[ids, 1]), counts
+        return self.codes[ids, 0], np.where(same, self.codes[ids, 2], self.codes[ids, 1]), counts
 
 
-def _sum_rows(out: np.ndarray, entries: np.ndarray, vectors: np.ndarray) -> None:
-    """out[entries] += vectors, entries repeating."""
-    order = np.argsort(entries, kind="stable")
-    sorted_ = entries[order]
-    heads = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    out[sorted_[heads]] += np.add.reduceat(vectors[order], heads, axis=0)
+@common.worker_cache
+def shared_words() -> Words:
+    """One per Python worker."""
+    return Words()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """The task's part of the context table, in blocks."""
-    index, words = index_vectors(seed), Words()
-    table = np.zeros((ENTRIES, SIZE), dtype=np.float32)
+    (places, signs), words = index_places(seed), shared_words()
+    table = np.zeros(ENTRIES * SIZE)
     for batch in batches:
-        for part in common.blocks(batch, limit=1_000_000):
+        for part in common.blocks(batch, limit=2_000_000):
             word, shape, counts = words.read(part.column("text").to_pylist())
-            if not len(word):
+            if len(word) < 2:
                 continue
-            own = index[word]
-            near = np.zeros_like(own)
             inside = np.repeat(np.arange(len(counts)), counts)
-            joined = (inside[1:] == inside[:-1])[:, None]
-            near[1:] += own[:-1] * joined
-            near[:-1] += own[1:] * joined
-            _sum_rows(table, word, near)
-            _sum_rows(table, shape, near)
+            pair = np.flatnonzero(inside[1:] == inside[:-1])  # neighbours in a text
+            for here, there in ((pair, pair + 1), (pair + 1, pair)):
+                near = word[there]
+                for own in (word[here] * SIZE, shape[here] * SIZE):
+                    for j in range(NONZERO):  # the neighbour's index vector has only these places
+                        table += np.bincount(own + places[near, j], weights=signs[near, j], minlength=len(table))
+    table = table.reshape(ENTRIES, SIZE)
     for b in range(0, ENTRIES, BLOCK):
         if table[b : b + BLOCK].any():
             yield pa.record_batch([pa.array([b], pa.int64()), pa.array([table[b : b + BLOCK].astype("<f4").tobytes()], pa.binary())], names=["block", "sums"])
@@ -213,7 +229,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate:
 
 
 def _pool(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    words = shared_words()
     for batch in batches:
         for part in common.blocks(batch, limit=1_000_000):
             x = pooled(part.column("text").to_pylist(), vectors.value, words)
@@ -242,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: in
 
 def _score(batches: Iterator[pa.RecordBatch], vectors, net: Network, threshold: float, rows: bool) -> Iterator[pa.RecordBatch]:
     """rows: whole rows that are accepted; else doc_id, held_out and the score."""
-    words = Words()
+    words = shared_words()
     for batch in batches:
         for part in common.blocks(batch, limit=1_000_000):
             score = net.scores(pooled([t or "" for t in part.column("text").to_pylist()], vectors.value, words))
