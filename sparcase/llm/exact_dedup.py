@@ -100,22 +100,15 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     base = rows.select("row_id", "doc_id", "text_sha256", F.size("chunks").alias("n_chunks"))
     listed = base.join(used, "row_id", "left").withColumn("recipe", F.when(F.col("n_chunks") == 0, F.expr("cast(array() as array<struct<key: bigint, variant: int>>)")).when(F.size("recipe") == F.col("n_chunks"), F.col("recipe")))
     first = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
-    groups = listed.where("recipe is not null").groupBy("recipe").agg(F.max(first).alias("stays"), F.count("*").alias("n"))
-    out = listed.join(groups, "recipe", "left")
-    alone = F.col("stays").isNull()
-    return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("stays.row_id") == F.col("row_id"))).alias("kept"),
-        "text_sha256",
-        F.col("n_chunks").cast("long").alias("n_chunks"),
-    )
+    shared = listed.where("recipe is not null")
+    groups = shared.groupBy("recipe").agg(F.max(first).alias("stays"), F.count("*").alias("n"))
+    found = common.spread_join(shared, groups, "recipe")
+    size = F.col("n_chunks").cast("long").alias("n_chunks")
+    grouped = found.select("doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("stays.row_id") == F.col("row_id")).alias("kept"), "text_sha256", size)
+    alone = listed.where("recipe is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", size)
+    return grouped.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows alike in doc_id and text, one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return common.keep_rows(docs, exact_dedup(docs).withColumn("text_id", F.unhex(F.substring("text_sha256", 1, 32))))
