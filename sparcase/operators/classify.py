@@ -201,7 +201,7 @@ def weighted_confidence(parts: list[tuple[Column, float]]) -> Column:
     """The weighted mean of the confidences that are there; null if none is."""
     total = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), c * w).otherwise(0.0) for c, w in parts))
     weight = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts))
-    return F.when(weight > 0, total / weight)
+    return F.when(weight > 0, F.round(total / weight, 9))  # rounding errors must not decide at a threshold
 
 
 def export_gate(ocr: Column, classified: Column, fused: Column, manual: Column, conflicts: Column, reviewed: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from ..functions.similarity import best_window
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Phrases of each kind of directive, in order of detection.
 PHRASES = {
@@ -15,23 +16,50 @@ PHRASES = {
     "Document": ("solicitud de documentos", "estados de cuenta", "entrega de documentación", "constancia de saldos"),
     "Information": ("solicitud de información", "requerimiento de información", "reporte de movimientos", "informar sobre"),
 }
+THRESHOLD = 0.85
+
+
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by bits of one whole number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
-def phrase_match(text: Column, phrases: tuple[str, ...], threshold: float = 0.85) -> Column:
-    """struct(score, phrase) of the best phrase; of equals the first. A phrase that is contained scores 1 at once."""
-    up = F.upper(text)
-    tried = [F.struct(F.when(up.contains(p.upper()), 1.0).otherwise(best_window(F.lit(p), text, threshold)["score"]).alias("score"), F.lit(-i).alias("earlier"), F.lit(p).alias("phrase")) for i, p in enumerate(phrases)]
-    best = F.array_max(F.filter(F.array(*tried), lambda x: x["score"].isNotNull()))
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), best["phrase"].alias("phrase")))
+def best_score(phrase: str, words: list[str]) -> float:
+    """The ratio of the window of words most like the phrase; windows have from one word less to two more."""
+    n, best = len(phrase.split()), 0.0
+    for size in range(max(1, n - 1), n + 3):
+        for i in range(len(words) - size + 1):
+            window = " ".join(words[i : i + size])
+            total = len(window) + len(phrase)
+            if 2 * min(len(window), len(phrase)) / total >= THRESHOLD:
+                best = max(best, int(200 * common_length(phrase, window) / total + 0.5) / 100)
+    return best
 
 
-def semantic_directives(text: Column, threshold: float = 0.85) -> Column:
-    """array(struct(kind, score, phrase)) of the kinds with a phrase in the text."""
-    found = []
+def directives_of(text: str) -> list[tuple[str, float, str]]:
+    up = text.upper()
+    words = up.split()
+    out = []
     for kind, phrases in PHRASES.items():
-        m = phrase_match(text, phrases, threshold)
-        found.append(F.when(m.isNotNull(), F.struct(F.lit(kind).alias("kind"), m["score"].alias("score"), m["phrase"].alias("phrase"))))
-    return F.array_compact(F.array(*found))
+        scored = [(1.0 if p.upper() in up else best_score(p.upper(), words), -i, p) for i, p in enumerate(phrases)]
+        score, _, phrase = max(scored)
+        if score >= THRESHOLD:
+            out.append((kind, score, phrase))
+    return out
+
+
+@pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("score", DoubleType()), StructField("phrase", StringType())])))
+def semantic_directives(texts: pd.Series) -> pd.Series:
+    """Of each kind that has a phrase in the text the best one, the first of equals; null counts as empty."""
+    return texts.map(lambda t: [{"kind": k, "score": s, "phrase": p} for k, s, p in directives_of(t or "")])
 
 
 def as_actions(found: Column) -> Column:

@@ -126,8 +126,8 @@ def cla12_relation(spark, d):
 @query()
 def cla14_15_semantic(spark, d):
     """Directives by phrases that may be a little misspelt, as actions. The tests pin known matches."""
-    found = semantic.semantic_directives(F.substring("text", 1, 90))
-    acts = _n(spark, d).select("case_id", F.explode(semantic.as_actions(found)).alias("x"))
+    rows = _n(spark, d).select("case_id", semantic.semantic_directives(F.col("text")).alias("found"))
+    acts = rows.select("case_id", F.explode(semantic.as_actions(F.col("found"))).alias("x"))
     return acts.select("case_id", "x.kind", "x.confidence")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Elements of a case record. Every leaf is read as text; types come later, with defaults.
 PERSON = "ParteId: string, Caracter: string, Persona: string, Paterno: string, Materno: string, Nombre: string, Rfc: string"
@@ -92,10 +95,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def text_layer(rows: DataFrame, extract, content: str = "content") -> DataFrame:
     """rows with the text that a function (bytes to str) of the caller's finds in their content: the hook for PDF and
     word-processor readers and for OCR engines, which are no part of this engine. Batches of a task go to it in order."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(c: pd.Series) -> pd.Series:
         return c.map(lambda b: None if b is None else extract(bytes(b)))
 
