@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -142,7 +141,7 @@ def repeated(streams: list[list[str]], depth: int, pages: int) -> list[np.ndarra
     while have < depth:
         step = min(have, depth - have)
         after = np.full(len(rank), -1, dtype=np.int64)
-        after[: len(rank) - step] = rank[step:]
+        after[: max(0, len(rank) - step)] = rank[step:]
         _, rank = np.unique(rank.astype(np.int64) * (len(rank) + 1) + after + 1, return_inverse=True)
         have += step
     pair = np.unique(rank.astype(np.int64) * len(streams) + page)
@@ -209,4 +208,8 @@ def html_text(pages: DataFrame, depth: int = 16, min_pages: int = 2, shard_pages
     found = common.map_batches(open_, _open_pages, "page_id long, url string, host string, blocks array<string>")
     shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
     dealt = found.join(many, "host").withColumn("shard", shard).drop("shards")
-    return direct.unionByName(dealt.groupBy("host", "shard").applyInPandas(partial(_shard, depth=depth, pages=min_pages), SCHEMA))
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _shard(pdf, depth, min_pages)
+
+    return direct.unionByName(dealt.groupBy("host", "shard").applyInPandas(runs, SCHEMA))
