@@ -78,7 +78,7 @@ def fus10_view(spark, d):
 
 _POLICY = """p AS (SELECT *, upper(trim(value)) AS norm, CASE source WHEN 'XML' THEN 1 WHEN 'DOCX' THEN 2 ELSE 3 END AS rank FROM vals WHERE trim(value) <> ''),
  g AS (SELECT case_id, norm, count(*) AS n, avg(confidence) AS mean, arg_min(struct_pack(r := rank, c := -confidence, p := place, v := value, s := source), struct_pack(r := rank, c := -confidence, p := place, v := value, s := source)) AS l FROM p GROUP BY 1, 2),
- b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, l.r, l.c, l.p) = 1), t AS (SELECT case_id, sum(n) AS total, count(*) AS k, max(n) AS m FROM g GROUP BY 1)"""
+ b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, l.r, l.c, l.p, mean DESC, l.v DESC, l.s DESC) = 1), t AS (SELECT case_id, sum(n) AS total, count(*) AS k, max(n) AS m FROM g GROUP BY 1)"""
 
 
 @query(f"WITH {I.VALUES}, {_POLICY} SELECT case_id, l.v AS value, l.s AS source, round(CASE WHEN total = 1 THEN mean ELSE n / total * mean END, 6)::double AS confidence, round(n / total, 6)::double AS agreement, k > 1 AS conflict FROM b JOIN t USING (case_id)")

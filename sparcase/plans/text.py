@@ -101,7 +101,7 @@ def san09_ocr_id(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), N.fix_ocr_id(raw).alias("id"))
 
 
-@query("SELECT doc_id, translate(upper(trim(regexp_replace(left(text, 100) || ' — x – y', '\\s+', ' ', 'g'))), '–—', '--') AS text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, translate(upper(trim(regexp_replace(replace(left(text, 100), 'ß', 'ss') || ' — x – y', '\\s+', ' ', 'g'))), '–—', '--') AS text FROM documents WHERE lang = 'en'")
 def san10_truth(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", N.normalize_truth(F.concat(F.left("text", F.lit(100)), F.lit(" — x – y"))).alias("text"))
 
