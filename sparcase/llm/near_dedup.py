@@ -41,7 +41,7 @@ FLOOR = 0.7
 FREQUENCY_BITS, FREQUENCY_BLOCK = 20, 1024
 #: Rows of the table of random draws; a shingle's row for each sample is taken from its hash.
 DRAW_BITS = 14
-KEEP = 300_000
+KEEP = 150_000
 #: Orders by which buckets draw their hubs; texts in a block; samples that must agree for a pair to be verified.
 HUBS, BLOCK, NEAR = 4, 1024, 40
 LARGE, MORE, NEARER = 64, 384, 276

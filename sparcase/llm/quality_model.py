@@ -32,7 +32,7 @@ BLOCK = 256
 #: Labelled rows at most that the network is fitted on: those with the lowest digests of their ids.
 FIT_ROWS = 20_000
 #: Words known to a worker at once; bounds memory, changes no result.
-KEEP = 400_000
+KEEP = 300_000
 
 
 @lru_cache(maxsize=1)
