@@ -67,22 +67,19 @@ def category_scores(area: Column, number: Column, text: Column) -> dict[str, Col
     return out
 
 
-def level1(scores: dict[str, Column]) -> Column:
-    """The category of the single highest score; Unknown for a tie or none."""
-    values = F.array(*scores.values())
-    top = F.array_max(values)
-    alone = F.size(F.filter(values, lambda s: s == top)) == 1
-    return F.when((top > FLOOR) & alone, F.element_at(F.array(*(F.lit(n) for n in scores)), F.array_position(values, top).cast("int"))).otherwise("Unknown")
+def level1(values: Column, top: Column) -> Column:
+    """The category of the single highest of the scores, in the order of CATEGORIES; Unknown for a tie or none."""
+    alone = F.size(F.array_remove(values, top)) == len(CATEGORIES) - 1
+    return F.when((top > FLOOR) & alone, F.element_at(F.array(*(F.lit(n) for n in CATEGORIES)), F.array_position(values, top).cast("int"))).otherwise("Unknown")
 
 
-def level1_confidence(scores: dict[str, Column]) -> Column:
+def level1_confidence(values: Column, top: Column) -> Column:
     """0 without any score; else by the lead of the highest one, the mean at most 70 where it is small or shared."""
-    values = F.array(*scores.values())
-    top = F.array_max(values)
-    mean = F.floor(F.aggregate(values, F.lit(0), lambda a, s: a + s) / len(scores)).cast("int")
-    second = F.coalesce(F.array_max(F.filter(values, lambda s: s != top)), F.lit(0))
-    shared = F.size(F.filter(values, lambda s: s == top)) > 1
-    return F.when(top == FLOOR, 0).when(shared, F.least(mean, F.lit(70))).when(top - second >= 60, F.least(top, F.lit(100))).when(top - second >= 40, F.least(top, F.lit(85))).otherwise(F.least(mean, F.lit(70)))
+    mean = F.floor(F.aggregate(values, F.lit(0), lambda a, s: a + s) / len(CATEGORIES)).cast("int")
+    others = F.array_remove(values, top)
+    lead = top - F.coalesce(F.array_max(others), F.lit(0))
+    shared = F.size(others) < len(CATEGORIES) - 1
+    return F.when(top == FLOOR, 0).when(shared, F.least(mean, F.lit(70))).when(lead >= 60, F.least(top, F.lit(100))).when(lead >= 40, F.least(top, F.lit(85))).otherwise(F.least(mean, F.lit(70)))
 
 
 def level2(area: Column, number: Column, text: Column) -> Column:
@@ -91,10 +88,15 @@ def level2(area: Column, number: Column, text: Column) -> Column:
     return F.when(special, "Especial").when(any_of(whole, ("JUDICIAL", "JUEZ", "TRIBUNAL")), "Judicial").when(any_of(whole, ("HACENDARIO", "SAT", "SHCP")), "Hacendario")
 
 
-def classify_case(seized: Column, area: Column, number: Column, text: Column) -> Column:
-    """struct(level1, level2, confidence). A case marked as a seizure is one, with 90."""
-    scores = category_scores(area, number, text)
-    return F.struct(F.when(seized, "Aseguramiento").otherwise(level1(scores)).alias("level1"), level2(area, number, text).alias("level2"), F.when(seized, 90).otherwise(level1_confidence(scores)).alias("confidence"))
+def classify_cases(rows: DataFrame, seized: str, area: str, number: str, text: str) -> DataFrame:
+    """rows with level1, level2 and confidence. A case marked as a seizure is one, with 90.
+
+    The scores are a column of their own before they are compared, so that each keyword is looked for once."""
+    scores = F.array(*category_scores(F.col(area), F.col(number), F.col(text)).values())
+    scored = rows.withColumn("_scores", scores).withColumn("_top", F.array_max("_scores"))
+    values, top = F.col("_scores"), F.col("_top")
+    out = {"level1": F.when(F.col(seized), "Aseguramiento").otherwise(level1(values, top)), "level2": level2(F.col(area), F.col(number), F.col(text)), "confidence": F.when(F.col(seized), 90).otherwise(level1_confidence(values, top))}
+    return scored.withColumns(out).drop("_scores", "_top")
 
 
 def requirement(area: Column, number: Column, references: Column, seized: Column) -> Column:

@@ -44,8 +44,7 @@ def cla01_scores(spark, d):
 
 @query(f"{_S} SELECT case_id, {_L1} AS level1, {_C1}::int AS confidence, {_L2} AS level2 FROM m")
 def cla02_05_levels(spark, d):
-    out = C.classify_case(F.col("seized"), F.col("area"), F.col("number"), F.col("text"))
-    return _n(spark, d).select("case_id", out["level1"].alias("level1"), out["confidence"].alias("confidence"), out["level2"].alias("level2"))
+    return C.classify_cases(_n(spark, d), "seized", "area", "number", "text").select("case_id", "level1", "confidence", "level2")
 
 
 _TAKEN = "(seized OR contains(area, 'ASEGURAMIENTO') OR contains(upper(number), '/AS'))"

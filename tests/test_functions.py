@@ -63,7 +63,8 @@ def test_semantic(spark):
 
 def test_action_traps(spark):
     assert one(spark, X.action_kind(F.col("t")), t="DESBLOQUEO") == "Block"
-    assert one(spark, classify.level1(classify.category_scores(F.lit(""), F.lit(""), F.col("t"))), t="DESEMBARGO") == "Unknown"
+    rows = spark.createDataFrame([("DESEMBARGO", "", "", False)], "t string, a string, n string, s boolean")
+    assert classify.classify_cases(rows, "s", "a", "n", "t").head()["level1"] == "Unknown"
 
 
 @pytest.mark.parametrize("text, value, currency", [("por $1,500.00 pesos", 1500.0, "MXN"), ("monto de 20,000 en dólares", 20000.0, "USD"), ("folio 1234567890", 123.0, None), ("nada", None, None)])
