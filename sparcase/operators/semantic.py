@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from ..functions.sequence import common_length
+
 #: Phrases of each kind of directive, in order of detection.
 PHRASES = {
     "Unblock": ("desbloqueo de cuenta", "desbloqueo de fondos", "liberación de fondos", "levantamiento de aseguramiento", "desembargo de cuenta", "liberar recursos"),
@@ -19,19 +21,6 @@ PHRASES = {
 THRESHOLD = 0.85
 
 
-def common_length(a: str, b: str) -> int:
-    """The length of the longest common subsequence, by bits of one whole number."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & places.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def best_score(phrase: str, words: list[str]) -> float:
     """The ratio of the window of words most like the phrase; windows have from one word less to two more."""
     n, best = len(phrase.split()), 0.0

@@ -1,9 +1,15 @@
 """Queries that once read a part of their input, against brute force on small tables."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from sparcase.catalog import QUERIES
 from sparcase.functions import normalize as N
+from sparcase.functions import similarity as S
+from sparcase.plans import inputs
+from sparcase.plans import text as text_plans
 
 
 def plain_upper(t):
@@ -18,3 +24,39 @@ def test_names_and_truth_of_whole_texts(spark, tmp_path):
     bare = str.maketrans(N.ACCENTED, N.PLAIN)
     assert names == {i: t if t is None else plain_upper(t).translate(bare) for i, _, t in rows}
     assert truths == {i: t if t is None else plain_upper(t).translate(str.maketrans("–—", "--")) for i, _, t in rows}
+
+
+def slow_window(phrase, text, threshold):
+    phrase, words, best = phrase.upper(), text.upper().split(), None
+    for size in range(max(1, len(phrase.split()) - 1), len(phrase.split()) + 3):
+        for i in range(len(words) - size + 1):
+            w = " ".join(words[i : i + size])
+            row = [0] * (len(w) + 1)
+            for x in phrase:
+                row = [0, *row[1:]] if not w else row
+                new = [0]
+                for j, y in enumerate(w):
+                    new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+                row = new
+            score = int(200 * row[-1] / (len(w) + len(phrase)) + 0.5) / 100
+            if score >= threshold and (best is None or score > best[0]):
+                best = (score, i + 1, size)
+    return best
+
+
+def test_best_window_like_brute_force(spark):
+    rng = random.Random(5)
+    words = ["bloqueo", "bloqeo", "de", "d", "fondos", "fondo", "los", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(14))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for least in (0.5, 0.85):
+        got = dict(rows.select("i", S.best_window(F.lit("bloqueo de fondos"), F.col("t"), least).alias("w")).collect())
+        assert {i: w and tuple(w) for i, w in got.items()} == {i: slow_window("bloqueo de fondos", t, least) for i, t in enumerate(texts)}
+
+
+def test_best_window_of_a_late_phrase(spark, monkeypatch):
+    late = "x " * 50 + "bloqeo de fondos " + "y " * 50 + "bloqueo de fondos"
+    notices = spark.createDataFrame([(1, late), (2, "nada"), (3, None)], "case_id long, text string")
+    monkeypatch.setattr(inputs, "notices", lambda *_: notices)
+    got = {r["case_id"]: (r["score"], r["start"], r["words"]) for r in text_plans.sim05_best_window(spark, "").collect()}
+    assert got == {1: (1.0, 104, 3), 2: (None, None, None), 3: (None, None, None)}
