@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import strip_accents
+from ..functions.sequence import common_length, letter_places
 from ..functions.validate import blank
 
 
@@ -79,50 +81,73 @@ def name_quality(name: Column, extra: Column) -> Column:
     return mixed + size - F.when(name.rlike(r"[0-9]+$"), 5).otherwise(0) + F.when(~blank(extra), 3).otherwise(0)
 
 
-def _ratio(a: str, b: str) -> int:
-    """As functions.similarity.token_sort_ratio, for two names in normal form."""
-    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    if not a or not b:
-        return 100 if a == b else 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            left = diagonal + 1 if x == y else max(above, left)
-            diagonal, row[j] = above, left
-    return int(200 * row[-1] / (len(a) + len(b)) + 0.5)
-
-
-def _seeds(pdf: pd.DataFrame, threshold: int, shortest: int) -> pd.DataFrame:
-    """The seed of each row in order: the first seed that is alike enough, else itself."""
-    seeds: list[tuple[int, str]] = []
-    out = []
-    for place, key in sorted(zip(pdf["place"], pdf["key"])):
-        n = len(key)
-        hit = next((p for p, k in seeds if (key == k) or (n > shortest and 200 * min(n, len(k)) >= (threshold - 1) * (n + len(k)) and _ratio(key, k) >= threshold)), place)
-        if hit == place:
-            seeds.append((place, key))
-        out.append((place, hit))
-    return pd.DataFrame(out, columns=["place", "seed"])
+#: Distinct names of a type in a block; pairs of blocks are compared, so no task grows with a type.
+NAME_BLOCK = 1000
 
 
-def cluster_names(rows: DataFrame, threshold: int = 85, shortest: int = 0) -> DataFrame:
-    """rows (place, type, name) with the place of the name's seed, clustered greedily in order within a type.
+def _close_pairs(a: list[tuple[int, str]], b: list[tuple[int, str]] | None, threshold: int) -> list[tuple[int, int]]:
+    """(later, earlier) places of names (place, sorted words) of a and b, or of a alone, with a ratio of threshold or more.
+
+    The ratio is that of functions.similarity.token_sort_ratio. Letters that two names share, counted without their
+    order, bound the common subsequence from above; only pairs that the bound admits are compared in full."""
+    right = a if b is None else b
+    letters = {x: i for i, x in enumerate(sorted({x for _, name in [*a, *right] for x in name}))}
 
-    Distinct names alone go to the greedy step, in blocks of a type and first letter of their sorted words, so that the
-    size of a block follows the catalogue's variety, not the number of its rows."""
-    key = comparable_name(F.col("name"))
-    keyed = rows.withColumn("key", key).withColumn("block", F.substring(F.array_join(F.array_sort(F.split("key", " ")), " "), 1, 1))
-    first = keyed.groupBy("type", "block", "key").agg(F.min("place").alias("place"))
+    def counts(names: list[tuple[int, str]]) -> np.ndarray:
+        out = np.zeros((len(names), len(letters)), dtype=np.int32)
+        for i, (_, name) in enumerate(names):
+            for x in name:
+                out[i, letters[x]] += 1
+        return out
 
-    def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _seeds(pdf, threshold, shortest)
+    have = counts(right)
+    size = have.sum(axis=1)
+    out = []
+    for i, ((place, name), own) in enumerate(zip(a, counts(a))):
+        begin = i + 1 if b is None else 0
+        total = len(name) + size[begin:]
+        bound = np.minimum(have[begin:], own).sum(axis=1)
+        places = letter_places(name)
+        for j in np.flatnonzero((400 * bound >= (2 * threshold - 1) * total) & (size[begin:] > 0) & (len(name) > 0)) + begin:
+            other, text = right[j]
+            if int(200 * common_length(name, text, places) / (len(name) + len(text)) + 0.5) >= threshold:
+                out.append((max(place, other), min(place, other)))
+    return out
+
+
+def _seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The seed of each name that is like an earlier one: pairs (later, earlier) in order, the first that is a seed."""
+    seed: dict[int, int] = {}
+    for later, earlier in sorted(zip(pdf["later"], pdf["earlier"])):
+        if later not in seed and earlier not in seed:
+            seed[later] = earlier
+    return pd.DataFrame(sorted(seed.items()), columns=["place", "seed"])
+
+
+def cluster_names(rows: DataFrame, threshold: int = 85, shortest: int = 0, block: int = NAME_BLOCK) -> DataFrame:
+    """rows (place, type, name) with the place of the name's seed, clustered greedily in order within a type.
 
-    found = first.groupBy("type", "block").applyInPandas(seeds, "place long, seed long")
-    named = first.join(found, "place").select("type", "key", "seed")
-    return keyed.join(named, ["type", "key"]).drop("key", "block")
+    All distinct names of a type are compared: they are dealt over blocks, and each pair of blocks is a group of its own.
+    The greedy step sees nothing but the pairs that are alike. A null name counts as empty."""
+    key = F.coalesce(comparable_name(F.col("name")), F.lit(""))
+    keyed = rows.withColumn("key", key)
+    first = keyed.groupBy("type", "key").agg(F.min("place").alias("place"))
+    many = first.groupBy("type").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    words = F.array_join(F.array_sort(F.split("key", " ")), " ")
+    dealt = first.join(F.broadcast(many), "type").select(F.xxhash64("type").alias("kind"), "type", "place", words.alias("words"), (F.length("key") > shortest).alias("long"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def alike(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        side = lambda k: [(int(p), w) for p, w in zip(pdf["place"][pdf["own"] == k], pdf["words"][pdf["own"] == k])]
+        long = dict(zip(pdf["place"], pdf["long"]))
+        found = [x for x in _close_pairs(side(low), None if low == high else side(high), threshold) if long[x[0]]]
+        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]] * len(found), "later": [x[0] for x in found], "earlier": [x[1] for x in found]}, dtype="int64")
+
+    close = pairs.groupBy("type", "low", "high").applyInPandas(alike, "kind long, later long, earlier long")
+    found = close.groupBy("kind").applyInPandas(_seeds, "place long, seed long")
+    named = first.join(found, "place", "left").select("type", "key", F.coalesce("seed", "place").alias("seed"))
+    return keyed.join(named, ["type", "key"]).drop("key")
 
 
 def survivors(clustered: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparcase.catalog import QUERIES
 from sparcase.functions import normalize as N
+from sparcase.functions import sequence
 from sparcase.functions import similarity as S
+from sparcase.operators import identity
 from sparcase.plans import inputs
 from sparcase.plans import text as text_plans
 
@@ -60,3 +62,37 @@ def test_best_window_of_a_late_phrase(spark, monkeypatch):
     monkeypatch.setattr(inputs, "notices", lambda *_: notices)
     got = {r["case_id"]: (r["score"], r["start"], r["words"]) for r in text_plans.sim05_best_window(spark, "").collect()}
     assert got == {1: (1.0, 104, 3), 2: (None, None, None), 3: (None, None, None)}
+
+
+def slow_clusters(names, threshold):
+    """The seed's place of each (place, type, name), by comparing every name with every seed before it."""
+    key = lambda n: " ".join(sorted(re.sub(r"[^A-Z0-9 ]", " ", n.upper()).split()))
+    seeds, out = [], {}
+    for place, kind, name in sorted(names):
+        for p, k, other in seeds:
+            a, b = key(name), key(other)
+            total = len(a) + len(b)
+            if k == kind and (a == b or (a and b and int(200 * sequence.common_length(a, b) / total + 0.5) >= threshold)):
+                out[place] = p
+                break
+        else:
+            seeds.append((place, kind, name))
+            out[place] = place
+    return out
+
+
+def test_clusters_across_first_letters(spark):
+    rows = [(1, "t", "1 JUZGADO QUINTO"), (2, "t", "2 Juzgado Quinto"), (3, "t", "JUZGADO QUINTO"), (4, "t", "EL JUZGADO QUINTO"), (5, "u", "EL JUZGADO QUINTO")]
+    got = identity.cluster_names(spark.createDataFrame(rows, "place long, type string, name string"), 90)
+    assert {r["place"]: r["seed"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5} == slow_clusters(rows, 90)
+
+
+def test_clusters_like_brute_force(spark):
+    rng = random.Random(8)
+    words = ["JUZGADO", "Juzgdo", "QUINTO", "Qinto", "EL", "1", "2", "Tribunal", "de", "lo"]
+    rows = [(i, rng.choice("tu"), " ".join(rng.choice(words) for _ in range(rng.randrange(5)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "place long, type string, name string")
+    for threshold in (70, 90):
+        for block in (1000, 9):
+            got = {r["place"]: r["seed"] for r in identity.cluster_names(df, threshold, block=block).collect()}
+            assert got == slow_clusters(rows, threshold)
