@@ -1,12 +1,13 @@
-"""Main text of web pages: structure first, a host suffix array where structure says nothing.
+"""Main text of web pages: structure first, a host's repeated passages where structure says nothing.
 
 A page's markup gives its blocks. Blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader
 comments go. If the page marks its article (article, main, role=main, itemprop=articleBody), that article is the
 text. It isn't held against other pages: a host's copies and shared passages are articles all the same.
 
-Pages that mark no article are taken by host. The token streams of a host's pages are concatenated and sorted by suffix
-(to the depth that matters); substrings of at least `depth` tokens that stand on `pages` distinct pages or more are
-boilerplate, and what they cover is removed. The unique runs stay.
+Pages that mark no article are taken by host. Substrings of at least `depth` tokens that stand
+on `pages` distinct texts of the host or more are boilerplate, and what they cover is removed. The unique runs stay.
+Runs of `depth` tokens are counted under a 128-bit digest of host and tokens, over the whole host (those that a lossless
+filter tells to stand on one text only aren't), so the result is that of one suffix array over all of a host's pages (`repeated`), whatever its size. Pages with equal text count once.
 """
 
 from __future__ import annotations
@@ -14,18 +15,22 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import partial
+from hashlib import blake2b
+from zlib import compress, crc32, decompress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-#: In a host's shard; a host with more pages is dealt by page over more shards.
+#: Texts (and runs of tokens) counted together in a worker before the counts are shuffled.
 SHARD_PAGES = 500
+SHARD_RUNS = 500_000
 MARKED = r"(?i)<(article|main)\b|role\s*=\s*[\"']?main\b|articleBody"
 #: Element names of HTML by what they are here for.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -177,39 +182,154 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _pack(text: str) -> bytes:
+    return compress(text.encode(), 1)
+
+
+def _unpack(data: bytes) -> str:
+    return decompress(data).decode()
+
+
 def _open_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages that mark no article, with all blocks, a line each, and a digest of host and blocks."""
     for batch in batches:
         for part in common.blocks(batch, "html"):
             found = [page_blocks(page)[1] for page in part.column("html").to_pylist()]
-            yield pa.record_batch([part.column("page_id"), part.column("url"), part.column("host"), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
+            text = ["\n".join(every) for every in found]
+            key = [blake2b(f"{len(h)}:{h}{t}".encode(), digest_size=16).digest() for h, t in zip(part.column("host").to_pylist(), text)]
+            packed = list(map(_pack, text))
+            yield pa.record_batch([part.column("page_id"), part.column("url"), part.column("host"), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "content", "packed"])
+
+
+def _tokens(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ") if text else []
+
+
+def run_keys(host: str, tokens: list[str], depth: int, starts: np.ndarray) -> np.ndarray:
+    """Two whole numbers for the `depth` tokens from each of the starts on: a 128-bit digest of host and tokens."""
+    own = blake2b(f"{len(host)}:{host}".encode(), digest_size=16)
+    coded = [t.encode() for t in tokens]
+    ends = np.cumsum([0, *(len(t) + 1 for t in coded)]).tolist()
+    flat, out = b" ".join(coded), bytearray()
+    for i in starts.tolist():
+        digest = own.copy()
+        digest.update(flat[ends[i] : ends[i + depth] - 1])
+        out += digest.digest()
+    return np.frombuffer(bytes(out), dtype=np.int64).reshape(-1, 2)
 
 
-def _shard(pdf: pd.DataFrame, depth: int, pages: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["page_id", "url"], kind="stable")
-    blocks = [list(b) for b in pdf["blocks"]]
-    masks = repeated([" ".join(b).split(" ") if b else [] for b in blocks], depth, pages)
-    text = ["\n".join(unique_runs(b, m)) for b, m in zip(blocks, masks)]
-    return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": list(map(len, text))})
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def run_minima(host: str, tokens: list[str], depth: int) -> np.ndarray:
+    """For the run of `depth` tokens from each place on, the least hash of the shorter runs of half its length in it.
+
+    Equal runs have equal minima, so a run is repeated only if its minimum is. Neighbours mostly share theirs, so there
+    are several times fewer minima than runs."""
+    if len(tokens) < depth:
+        return np.zeros(0, dtype=np.int64)
+    half = max(1, depth // 2)
+    code = _mixed(np.fromiter((crc32(t.encode()) for t in tokens), dtype=np.uint64, count=len(tokens)))
+    short = np.full(len(tokens) - half + 1, crc32(host.encode()), dtype=np.uint64)
+    for k in range(half):
+        short = short * np.uint64(0xD6E8FEB86659FD93) + code[k : k + len(short)]
+    return np.lib.stride_tricks.sliding_window_view(_mixed(short), depth - half + 1).min(axis=1).view(np.int64)
+
+
+def _count_minima(batches: Iterator[pa.RecordBatch], depth: int, shard_pages: int) -> Iterator[pa.RecordBatch]:
+    """m, n: on how many of the texts (all distinct) each minimum stands, summed over some of them."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def summed() -> pa.RecordBatch:
+        m, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.record_batch([pa.array(m), pa.array(n.astype(np.int64))], names=["m", "n"])
+
+    for batch in batches:
+        for host, packed in zip(batch.column("host").to_pylist(), batch.column("packed").to_pylist()):
+            held.append(np.unique(run_minima(host, _tokens(_unpack(packed)), depth)))
+            size += len(held[-1])
+            if len(held) >= shard_pages or size >= SHARD_RUNS:
+                size = 0
+                yield summed()
+    if held:
+        yield summed()
+
+
+def _places(batches: Iterator[pa.RecordBatch], depth: int, bits: Broadcast[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """uid, place, a, b of the runs whose minimum may be repeated; first: 1 at a run's first place in its text, else 0."""
+    for batch in batches:
+        for uid, host, packed in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "packed"))):
+            tokens = _tokens(_unpack(packed))
+            slot = run_minima(host, tokens, depth) & (common.FILTER_BITS - 1)
+            starts = np.flatnonzero(bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            if not len(starts):
+                continue
+            keys = run_keys(host, tokens, depth, starts)
+            first = np.zeros(len(starts), dtype=np.int64)
+            first[np.unique(keys, axis=0, return_index=True)[1]] = 1
+            yield pa.record_batch([pa.array(np.full(len(starts), uid, dtype=np.int64)), pa.array(starts.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first)], names=["uid", "place", "a", "b", "first"])
+
+
+def _bitmap(members: DataFrame, key: str) -> np.ndarray:
+    """Bits of the members' keys by their lower bits: 8 MB, at any scale. When it fills up it lets more pass, no fewer."""
+    slot = F.pmod(key, F.lit(common.FILTER_BITS)) + 1
+    rows = members.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros(common.FILTER_BITS // 8, dtype=np.uint8)
+    for bucket, bits in rows.collect():
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def boilerplate(n: int, places: np.ndarray, on: np.ndarray, depth: int, pages: int) -> np.ndarray:
+    """Which of a text's n tokens are covered by runs from `places` on, that stand on so many texts."""
+    most = np.zeros(n, dtype=np.int64)
+    for k in range(depth):
+        most[places + k] = np.maximum(most[places + k], on)
+    return most >= pages
+
+
+def _unique_texts(batches: Iterator[pa.RecordBatch], depth: int, pages: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for packed, runs in zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist()):
+            if runs:
+                text = _unpack(packed)
+                places, on = np.array([(r["place"], r["n"]) for r in runs], dtype=np.int64).T
+                packed = _pack("\n".join(unique_runs(text.split("\n"), boilerplate(len(_tokens(text)), places, on, depth, pages))))
+            out.append(packed)
+        yield pa.record_batch([batch.column("content"), pa.array(out, pa.binary())], names=["content", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in common.blocks(batch, "packed", common.BLOCK_CHARS // 4):
+            text = [_unpack(x) for x in part.column("packed").to_pylist()]
+            yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def html_text(pages: DataFrame, depth: int = 16, min_pages: int = 2, shard_pages: int = SHARD_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null and empty html, and pages without any text: an empty text. Repeated rows come out each; a page_id or url may
-    be null (pages without a host are taken as one host). A host's pages without a marked article are dealt by a
-    digest of the row over ceil(pages / shard_pages) shards, so no task gets an unbounded host; then a substring counts
-    as repeated within its shard. Pages with a marked article need no other page, hence no shuffle."""
+    be null (pages without a host are taken as one host). Pages with a marked article need no other page, hence no
+    shuffle. Of the other pages the distinct texts are taken; runs are counted by digest over all texts of a host, and the
+    places of repeated runs go back to their texts. No task holds a host."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     marked = F.col("html").rlike(MARKED)
     direct = common.map_batches(rows.where(marked), _articles, SCHEMA)
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
-    open_ = rows.where(~marked).withColumn("host", host)
-    many = open_.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards"))
-    found = common.map_batches(open_, _open_pages, "page_id long, url string, host string, blocks array<string>")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
-    dealt = found.join(many, "host").withColumn("shard", shard).drop("shards")
-
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _shard(pdf, depth, min_pages)
-
-    return direct.unionByName(dealt.groupBy("host", "shard").applyInPandas(runs, SCHEMA))
+    open_ = common.cut(common.map_batches(rows.where(~marked).withColumn("host", host), _open_pages, "page_id long, url string, host string, content binary, packed binary"))
+    distinct = open_.groupBy("content").agg(F.first("host").alias("host"), F.first("packed").alias("packed"))
+    texts = common.cut(distinct.withColumn("uid", F.monotonically_increasing_id()))
+    minima = common.map_batches(texts.select("host", "packed"), partial(_count_minima, depth=depth, shard_pages=shard_pages), "m long, n long")
+    bits = pages.sparkSession.sparkContext.broadcast(_bitmap(minima.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages), "m"))
+    places = common.map_batches(texts.select("uid", "host", "packed"), partial(_places, depth=depth, bits=bits), "uid long, place int, a long, b long, first long")
+    repeats = places.groupBy("a", "b").agg(F.sum("first").alias("n")).where(F.col("n") >= min_pages)
+    runs = common.spread_join(places.drop("first"), repeats, "a", "b").groupBy("uid").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
+    cleaned = common.map_batches(texts.join(runs, "uid", "left").select("content", "packed", "runs"), partial(_unique_texts, depth=depth, pages=min_pages), "content binary, packed binary")
+    out = common.spread_join(open_.select("page_id", "url", "content"), cleaned, "content")
+    return direct.unionByName(common.map_batches(out.select("page_id", "url", "packed"), _unpacked, SCHEMA))
