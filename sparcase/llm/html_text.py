@@ -4,7 +4,7 @@ A page's markup gives its blocks. Blocks in menus, page headers, footers, sideba
 comments go. If the page marks its article (article, main, role=main, itemprop=articleBody), that article is the
 text. It isn't held against other pages: a host's copies and shared passages are articles all the same.
 
-Pages that mark no article are taken by host. Substrings of at least `depth` tokens that stand
+Pages in which no marked article with text is found are taken by host. Substrings of at least `depth` tokens that stand
 on `pages` distinct texts of the host or more are boilerplate, and what they cover is removed. The unique runs stay.
 Runs of `depth` tokens are counted under a 128-bit digest of host and tokens, over the whole host (those that a lossless
 filter tells to stand on one text only aren't), so the result is that of one suffix array over all of a host's pages (`repeated`), whatever its size. Pages with equal text count once.
@@ -31,6 +31,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Texts (and runs of tokens) counted together in a worker before the counts are shuffled.
 SHARD_PAGES = 500
 SHARD_RUNS = 500_000
+#: Pages without a match mark no article; of the others page_blocks decides.
 MARKED = r"(?i)<(article|main)\b|role\s*=\s*[\"']?main\b|articleBody"
 #: Element names of HTML by what they are here for.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -173,13 +174,12 @@ def unique_runs(blocks: list[str], mask: np.ndarray) -> list[str]:
 
 
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages in which a marked article has text."""
     for batch in batches:
         for part in common.blocks(batch, "html"):
-            text = []
-            for page in part.column("html").to_pylist():
-                inner, every = page_blocks(page)
-                text.append("\n".join(inner or every))
-            yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            text = ["\n".join(page_blocks(page)[0]) or None for page in part.column("html").to_pylist()]
+            out = pa.record_batch([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t or "") for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield out.filter(out.column("text").is_valid())
 
 
 def _pack(text: str) -> bytes:
@@ -191,14 +191,15 @@ def _unpack(data: bytes) -> str:
 
 
 def _open_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that mark no article, with all blocks, a line each, and a digest of host and blocks."""
+    """The other pages, with all blocks, a line each, and a digest of host and blocks."""
     for batch in batches:
         for part in common.blocks(batch, "html"):
-            found = [page_blocks(page)[1] for page in part.column("html").to_pylist()]
-            text = ["\n".join(every) for every in found]
-            key = [blake2b(f"{len(h)}:{h}{t}".encode(), digest_size=16).digest() for h, t in zip(part.column("host").to_pylist(), text)]
-            packed = list(map(_pack, text))
-            yield pa.record_batch([part.column("page_id"), part.column("url"), part.column("host"), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "content", "packed"])
+            found = [page_blocks(page) for page in part.column("html").to_pylist()]
+            text = [None if inner else "\n".join(every) for inner, every in found]
+            key = [None if t is None else blake2b(f"{len(h)}:{h}{t}".encode(), digest_size=16).digest() for h, t in zip(part.column("host").to_pylist(), text)]
+            packed = [None if t is None else _pack(t) for t in text]
+            out = pa.record_batch([part.column("page_id"), part.column("url"), part.column("host"), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "content", "packed"])
+            yield out.filter(out.column("packed").is_valid())
 
 
 def _tokens(text: str) -> list[str]:
@@ -320,9 +321,8 @@ def html_text(pages: DataFrame, depth: int = 16, min_pages: int = 2, shard_pages
     places of repeated runs go back to their texts. No task holds a host."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    marked = F.col("html").rlike(MARKED)
-    direct = common.map_batches(rows.where(marked), _articles, SCHEMA)
-    open_ = common.cut(common.map_batches(rows.where(~marked).withColumn("host", host), _open_pages, "page_id long, url string, host string, content binary, packed binary"))
+    direct = common.map_batches(rows.where(F.col("html").rlike(MARKED)), _articles, SCHEMA)
+    open_ = common.cut(common.map_batches(rows.withColumn("host", host), _open_pages, "page_id long, url string, host string, content binary, packed binary"))
     distinct = open_.groupBy("content").agg(F.first("host").alias("host"), F.first("packed").alias("packed"))
     texts = common.cut(distinct.withColumn("uid", F.monotonically_increasing_id()))
     minima = common.map_batches(texts.select("host", "packed"), partial(_count_minima, depth=depth, shard_pages=shard_pages), "m long, n long")

@@ -38,3 +38,12 @@ def test_runs_like_the_suffix_array(spark):
             want.append((i, " ".join(w for w, c in zip(t.split(), m) if not c)))
     got = {i: t for i, t, _ in texts_of(spark, rows, depth=5, shard_pages=3)}
     assert len(want) > 5 and any(m.any() for m in masks) and all(got[i] == t for i, t in want)
+
+
+def test_marks_that_mark_nothing(spark):
+    rng = random.Random(3)
+    shared, own = words(rng, 20), [words(rng, 30) for _ in range(4)]
+    marks = ["<!-- <article> -->", '<script>var a = "<main>";</script>', '<script type="application/ld+json">{"articleBody": "x"}</script>', "<article></article>"]
+    rows = [(i, "http://h/", f"{m}<p>{' '.join(shared)}</p><p>{' '.join(w)}</p>") for i, (m, w) in enumerate(zip(marks, own))]
+    rows.append((4, "http://h/", f"<article><p>{' '.join(shared)}</p></article>"))
+    assert texts_of(spark, rows) == [*((i, " ".join(w), 209) for i, w in enumerate(own)), (4, " ".join(shared), 139)]
