@@ -286,11 +286,21 @@ def _bitmap(members: DataFrame, key: str) -> np.ndarray:
 
 
 def boilerplate(n: int, places: np.ndarray, on: np.ndarray, depth: int, pages: int) -> np.ndarray:
-    """Which of a text's n tokens are covered by runs from `places` on, that stand on so many texts."""
+    """Which of a text's n tokens are covered by runs from `places` on, that stand on so many texts.
+
+    A text that is repeated itself isn't deleted. Where fewer than `depth` tokens would stay, only runs on more texts
+    are removed, of the least number that lets `depth` tokens (or all) stay: a passage shared with a few copies stays,
+    a menu on all pages goes. If nothing could be removed then, a rest that isn't empty stays as it is."""
     most = np.zeros(n, dtype=np.int64)
     for k in range(depth):
         most[places + k] = np.maximum(most[places + k], on)
-    return most >= pages
+    level, least = pages, min(depth, n)
+    left = int((most < level).sum())
+    if left < least:
+        raised = int(np.sort(most)[least - 1]) + 1
+        if not left or (most >= raised).any():
+            level = raised
+    return most >= level
 
 
 def _unique_texts(batches: Iterator[pa.RecordBatch], depth: int, pages: int) -> Iterator[pa.RecordBatch]:

@@ -47,3 +47,21 @@ def test_marks_that_mark_nothing(spark):
     rows = [(i, "http://h/", f"{m}<p>{' '.join(shared)}</p><p>{' '.join(w)}</p>") for i, (m, w) in enumerate(zip(marks, own))]
     rows.append((4, "http://h/", f"<article><p>{' '.join(shared)}</p></article>"))
     assert texts_of(spark, rows) == [*((i, " ".join(w), 209) for i, w in enumerate(own)), (4, " ".join(shared), 139)]
+
+
+def test_copies_stay(spark):
+    rng = random.Random(4)
+    menu, article = words(rng, 20), words(rng, 60)
+    page = lambda *parts: "".join(f"<p>{' '.join(p)}</p>" for p in parts)
+    others = [words(rng, 40) for _ in range(3)]
+    rows = [(0, "http://h/0", page(menu, article)), (0, "http://h/0", page(menu, article)), (1, "http://h/1", page(menu, article)), (2, "http://h/2", page(menu, article, ["Page", "2"]))]
+    rows += [(3 + i, f"http://h/{3 + i}", page(menu, o)) for i, o in enumerate(others)] + [(6, "http://x/", page(article)), (6, "http://x/", page(article))]
+    got = [(i, t) for i, t, _ in texts_of(spark, rows)]
+    whole = " ".join(article)
+    assert got == [(0, whole), (0, whole), (1, whole), (2, whole + "\nPage 2"), *((3 + i, " ".join(o)) for i, o in enumerate(others)), (6, whole), (6, whole)]
+
+
+def test_short_rests():
+    on = np.array([50] * 5)
+    assert html_text.boilerplate(10, np.arange(5), on, 4, 2).tolist() == [True] * 8 + [False] * 2
+    assert not html_text.boilerplate(8, np.arange(5), on, 4, 2).any()
