@@ -6,7 +6,6 @@ attending to each other). Pieces go, in descending order, to the sequence of low
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -20,8 +19,6 @@ from . import common, wordpieces
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Tokens that a task balances at once: about 500 sequences of 4096, 8 MB of ids.
 BLOCK_TOKENS = 1 << 21
-#: Sequences of lowest cost that are tried for one that takes a piece whole, before the piece is cut.
-TRIES = 16
 
 
 class Packer:
@@ -55,26 +52,21 @@ class Packer:
                 short.append((key, start, n))
         many = sum(n for *_, n in short) // cap
         first, self.sequences = self.sequences, self.sequences + many
-        open_ = [(0.0, i) for i in range(many)]  # a heap: cost, sequence
-        used, left = [0] * many, []
+        cost, room, left = np.zeros(many), np.full(many, cap), []
         short.sort(key=lambda p: (-p[2], p[0], p[1]))
         for key, start, n in short:
-            while n and open_:
-                tried = []
-                while open_ and len(tried) < TRIES:
-                    tried.append(heapq.heappop(open_))
-                    if cap - used[tried[-1][1]] >= n:
-                        break
-                at = len(tried) - 1 if cap - used[tried[-1][1]] >= n else 0
-                cost, i = tried.pop(at)
-                take = min(n, cap - used[i])
-                yield key, start, take, first + i, used[i]
-                used[i] += take
+            while n and many:
+                fits = np.flatnonzero(room >= n)
+                if not len(fits):  # no sequence takes it whole: the cheapest with room takes what it can
+                    fits = np.flatnonzero(room)
+                if not len(fits):
+                    break
+                i = int(fits[cost[fits].argmin()])
+                take = min(n, int(room[i]))
+                yield key, start, take, first + i, cap - int(room[i])
+                room[i] -= take
+                cost[i] += self.cost(take)
                 start, n = start + take, n - take
-                if used[i] < cap:
-                    tried.append((cost + self.cost(take), i))
-                for x in tried:
-                    heapq.heappush(open_, x)
             if n:
                 left.append((key, start, n))
         self.waiting, self.tokens = left, sum(n for *_, n in left)
