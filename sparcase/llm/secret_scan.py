@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,23 +67,24 @@ def linked_spans(text: str, base: list[Span], scope: int = 200, bits: float = 3.
     weak += [("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if random_like(m[0], bits)]
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the furthest end of the spans up to each
 
     def covered(a: int, b: int) -> bool:
         i = bisect.bisect_left(starts, b)
-        return any(taken[j][1] > a for j in range(max(0, i - 3), i))
+        return i > 0 and reach[i - 1] > a
 
     weak = [s for s in weak if not covered(s[1], s[2])]
     role = {"access": "id", "weak_access": "id", "assign": "secret", "hex": "secret", "weak_secret": "secret", "endpoint": "place"}
     parts: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "place": []}
     for kind, a, b in sorted(weak + base, key=lambda s: s[1]):
         parts[role[kind]].append((a, b))
-    begins = {k: [a for a, _ in v] for k, v in parts.items()}
+    ends = {k: list(accumulate((b for _, b in v), max)) for k, v in parts.items()}
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-    longest = max(b - a for _, a, b in weak + base) if weak else 0
 
     def near(a: int, b: int, other: str) -> bool:
-        """An interval join: the other parts' intervals against this one, widened by the scope."""
-        i = bisect.bisect_left(begins[other], a - scope - longest)
+        """An interval join: the other parts' intervals against this one, widened by the scope. No part before the first
+        whose running maximum of ends reaches the scope can be in it."""
+        i = bisect.bisect_left(ends[other], a - scope)
         for x, y in parts[other][i:]:
             if x > b + scope:
                 return False
