@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to Python code at once; bounds a worker's memory whatever the row count of an Arrow batch.
@@ -122,9 +122,9 @@ def flag_members(rows: DataFrame, key: str, members: DataFrame, flag: str = "_ma
     return found.withColumn(flag, test).drop("_h", "_bucket", "_place", "_bits")
 
 
-def text_key(text: str = "text") -> F.Column:
+def text_key(text: str | Column = "text") -> Column:
     """16 bytes of a text's SHA-256 digest, null counting as empty."""
-    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256), 1, 32))
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -202,6 +202,26 @@ def test_packer_balances():
     assert spread.std() / spread.mean() < 0.2
 
 
+def test_packer_takes_whole():
+    """A piece goes to the sequence of lowest cost that can take it whole, as if all sequences were tried."""
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = [rng.randrange(1, 100) for _ in range(rng.randrange(5, 120))]
+        p, many = packing.Packer(100, 1.0, 0.01), sum(sizes) // 100
+        for k, n in enumerate(sizes):
+            p.add(k, n)
+        cost, room, want = [0.0] * many, [100] * many, []
+        for k, n in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+            start = 0
+            while n and any(room):
+                fits = [i for i in range(many) if room[i] >= n] or [i for i in range(many) if room[i]]
+                i = min(fits, key=lambda i: (cost[i], i))
+                take = min(n, room[i])
+                want.append((k, start, take, i, 100 - room[i]))
+                cost[i], room[i], start, n = cost[i] + p.cost(take), room[i] - take, start + take, n - take
+        assert list(p.flush()) == want
+
+
 def test_token_counts(spark, texts, word_library):
     for r in token_counts.token_counts(docs(spark)).collect():
         t = texts[r["doc_id"]]
@@ -337,6 +357,9 @@ def test_secrets(spark, texts):
     assert secret_scan.linked_spans("a key Zx81kQp7Lm2Vt9Rw4Ys6 alone", []) == []
     far = text[:22] + " " * 500 + text[22:]
     assert secret_scan.linked_spans(far, []) == [] and secret_scan.linked_spans(text[:22] + "\n\n" + text[22:], []) == []
+    many = 'token="' + ".".join(f"AKIA{'ABCDEFGHIJK'[:11]}{i}" for i in range(1, 9)) + '.Zx81kQp7Lm2Vt9Rw4Ys6Xa12"'
+    base = secret_scan.base_spans(many)
+    assert len(base) == 9 and secret_scan.linked_spans(many, base) == []  # all lies in the first span
     rows = spark.createDataFrame([(1, "token = abcdefgh12", "x"), (2, None, "y")], "doc_id long, text string, other string")
     assert [(r["text"], r["other"]) for r in secret_scan.redact_documents(rows).orderBy("doc_id").collect()] == [("[SECRET]", "x"), (None, "y")]
 
