@@ -87,9 +87,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+def few(df: DataFrame, rows: int, each: int = 4_096) -> DataFrame:
     """df in as few partitions as its number of rows asks for, so that small tables don't leave many small files behind
-    each exchange. Larger tables get more, without end."""
+    each exchange. Larger tables keep all that the exchange made. For rows of at most some hundred bytes, not for texts,
+    and not above Python steps."""
     return df.coalesce(max(2, -(-rows // each)))
 
 

@@ -17,7 +17,7 @@ def _stars(links: DataFrame, rows: int) -> DataFrame:
     large = spread_join(both, few(least, 2 * rows), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     large = few(large, rows)
     least = few(large.groupBy("u").agg(F.min("v").alias("m")), rows)
-    small = few(large.join(least, "u"), rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = few(spread_join(large, least, "u"), rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

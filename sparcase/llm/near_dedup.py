@@ -2,19 +2,22 @@
 
 A document's features are its shingles of five words (lower-cased runs of letters and digits), each weighing
 tf * (FLOOR + (1 - FLOOR) * idf), idf in 0..1. Document frequencies come from all documents, counted in 2 ** 20 hashed
-entries, so that the table that the tasks read has a fixed size of 4 MB at any scale. FLOOR keeps a group of thousands
-of near copies, whose shingles are therefore frequent, from drifting apart over its few rare ones.
+entries, so that the table that the tasks read has a fixed size of 4 MB at any scale. What other shingles add to an entry
+is about the same everywhere: the median entry and three standard deviations of it are subtracted, so that rare shingles
+weigh the same in any corpus and frequent ones stand out. FLOOR keeps a group of thousands of near copies, whose
+shingles are therefore frequent, from drifting apart over its few rare ones.
 
 Improved consistent weighted sampling (Ioffe 2010) draws SAMPLES samples a document; two documents agree in each with
 the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples make the buckets: two texts at a
 similarity of 0.8 share none with a probability of 2e-4, at 0.85 of 7e-6.
 
 Buckets are compared in two steps. First star-wise: all texts of a bucket with its hub. Verified links join texts into
-classes. Then, where a bucket still holds texts of several classes, its pairs across classes: in blocks of texts, by
-their samples, of which at least NEAR of the SAMPLES must agree (a pair at 0.8 passes with a probability of 0.9998) and,
-in buckets of more than LARGE texts, at least NEARER of MORE further ones (0.9999); what passes is verified, in large
-buckets there and then. So every pair of a bucket is either decided or of one class already; a bucket of thousands
-of copies makes no pairs but those that are links.
+classes. Then, where a bucket still holds texts of several classes: those outside its largest class with each other and
+with the largest class, in blocks of texts, by their samples, of which at least NEAR of the SAMPLES must agree (a pair at
+0.8 passes with a probability of 0.9998). Only texts with such a pair are read; where they are more than LARGE, at least
+NEARER of MORE further samples must agree (0.9999). What passes is verified until a link joins the two classes. So every
+pair of a bucket is either decided or of one class already, and a bucket of a million copies and a stranger makes a
+million comparisons.
 """
 
 from __future__ import annotations
@@ -39,11 +42,14 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 FLOOR = 0.7
 FREQUENCY_BITS, FREQUENCY_BLOCK = 20, 1024
-#: Rows of the table of random draws; a shingle's row for each sample is taken from its hash.
+#: Entries of the tables of random draws. For each sample three hashes of a shingle choose its r, c and beta, each of its
+#: own, so that few shingles of a text share all of them, however long it is.
 DRAW_BITS = 14
 KEEP = 150_000
 #: Orders by which buckets draw their hubs; texts in a block; samples that must agree for a pair to be verified.
-HUBS, BLOCK, NEAR = 4, 1024, 40
+HUBS, BLOCK, NEAR = 4, 512, 40
+#: Shingles of a block's texts that are held at once.
+HELD = 2_000_000
 LARGE, MORE, NEARER = 64, 384, 276
 WORD = re.compile(r"[^\W_]+")
 #: The same words, faster, in lower-case texts of these characters.
@@ -93,8 +99,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [shingles(t)[0] for t in part.column("text").to_pylist()]
             texts += sum(len(f) > 0 for f in found)
             if found:
-                flat = np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS)
-                table += np.bincount(flat.astype(np.int64), minlength=len(table)).astype(np.uint32)
+                owner = np.repeat(np.arange(len(found), dtype=np.uint64), [len(f) for f in found])
+                flat = np.unique(owner << np.uint64(32) | np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS))  # once a document
+                table += np.bincount((flat & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(table)).astype(np.uint32)
     yield from _shown({-1: np.array([texts], np.int64)} | {b: table[b : b + FREQUENCY_BLOCK].astype(np.int64) for b in range(0, len(table), FREQUENCY_BLOCK) if table[b : b + FREQUENCY_BLOCK].any()})
 
 
@@ -125,7 +132,13 @@ def shingle_weights(docs: DataFrame, floor: float = FLOOR) -> np.ndarray:
             n = int(x[0])
         else:
             df[row["block"] : row["block"] + len(x)] = x
-    idf = np.maximum(0, 1 - np.log1p(df) / math.log1p(max(n, 1)))
+    return log_weights_of(df, n, floor)
+
+
+def log_weights_of(df: np.ndarray, n: int, floor: float = FLOOR) -> np.ndarray:
+    """Logarithms of weights from an entry's documents, of n. The load that other shingles bring to every entry is left out."""
+    load = float(np.median(df))
+    idf = np.clip(1 - np.log1p(np.maximum(0, df - load - 3 * math.sqrt(load))) / math.log1p(max(n, 1)), 0, 1)
     return np.log(floor + (1 - floor) * idf).astype(np.float32)
 
 
@@ -152,11 +165,11 @@ def sample(features: list[tuple[np.ndarray, np.ndarray]], many: int = SAMPLES, b
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     out = np.empty((len(sizes), many), dtype=np.uint64)
+    mask = np.uint64((1 << bits) - 1)
     for k in range(many):
-        row = keys * factor[k]
-        row >>= np.uint64(64 - bits)
-        row = row.view(np.int64)
-        bk = beta[k].take(row)
+        mixed = keys * factor[k]
+        row = (mixed >> np.uint64(64 - bits)).view(np.int64)
+        bk = beta[k].take((mixed >> np.uint64(64 - 2 * bits) & mask).view(np.int64))
         step = inverse[k].take(row)
         step *= weight
         step += bk
@@ -164,7 +177,7 @@ def sample(features: list[tuple[np.ndarray, np.ndarray]], many: int = SAMPLES, b
         bk -= step
         bk -= np.float32(1)
         bk *= r[k].take(row)
-        bk += log_c[k].take(row)
+        bk += log_c[k].take((mixed >> np.uint64(64 - 3 * bits) & mask).view(np.int64))
         log_a = bk  # ln c - r * (step - beta + 1)
         least = np.minimum.reduceat(log_a, starts)
         at = np.flatnonzero(log_a == least[owner])
@@ -240,71 +253,143 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_pairs(rows: list[tuple], log_weights: np.ndarray, least: float) -> Iterator[tuple[bytes, bytes, bool]]:
-    """Pairs across classes that agree in enough samples, of one block or between two, and whether they are verified. A
-    pair that shares several buckets comes from the first of them alone."""
+def _candidates(rows: list[tuple], band: int) -> tuple[list[tuple], list[tuple], np.ndarray, np.ndarray]:
+    """Both sides of a block and, by agreement, pairs of their rows (side, node, comp, brief, bands, ...) across classes that
+    agree in enough samples. A pair that shares several buckets comes from the first of them alone."""
     sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
     two = bool(sides[1])
     left, right = sides if two else (sides[0], sides[0])
+    none = np.zeros(0, dtype=np.int64)
     if not left:
-        return
+        return left, right, none, none
     table = lambda side, at, kind: np.frombuffer(b"".join(r[at] for r in side), kind).reshape(len(side), -1)
-    i, j = np.nonzero(agreeing(table(left, 3, "<u2"), table(right, 3, "<u2")) >= NEAR)
+    agree = agreeing(table(left, 3, "<u2"), table(right, 3, "<u2"))
+    i, j = np.nonzero(agree >= NEAR)
     comps = {c: n for n, c in enumerate({r[2] for r in rows})}
     of = lambda side: np.array([comps[r[2]] for r in side])
     good = of(left)[i] != of(right)[j]
     if not two:
         good &= i < j
     i, j = i[good], j[good]
-    band, (keys, others) = rows[0][5], (table(left, 4, "<i8"), table(right, 4, "<i8"))
-    more = [table(side, 6, "u1") for side in (left, right)] if all(r[6] for r in rows) else None
-    known, shingles = {}, shared_shingler()
-    for at in range(0, len(i), 100_000):
-        x, y = i[at : at + 100_000], j[at : at + 100_000]
-        good = ~(keys[x, :band] == others[y, :band]).any(axis=1)
-        x, y = x[good], y[good]
-        if more:
-            good = (more[0][x] == more[1][y]).sum(axis=1) >= NEARER
-            x, y = x[good], y[good]
-        for p, q in zip(x.tolist(), y.tolist()):
-            a, b = left[p][1], right[q][1]
-            if more:
-                for r in (left[p], right[q]):
-                    if r[1] not in known:
-                        known[r[1]] = weighted(r[7], shingles, log_weights)
-                if jaccard(known[a], known[b]) < least:
-                    continue
-            yield max(a, b), min(a, b), bool(more)
+    keys, others = table(left, 4, "<i8"), table(right, 4, "<i8")
+    good = np.concatenate([~(keys[i[at : at + 100_000], :band] == others[j[at : at + 100_000], :band]).any(axis=1) for at in range(0, len(i), 100_000)]) if len(i) else none.astype(bool)
+    i, j = i[good], j[good]
+    order = np.argsort(-agree[i, j].astype(np.int64), kind="stable")
+    return left, right, i[order], j[order]
+
+
+class _Features:
+    """The weighted shingles of a block's texts, so many of them held at once."""
+
+    def __init__(self, log_weights: np.ndarray):
+        self.log_weights, self.shingles = log_weights, shared_shingler()
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def __call__(self, node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if node not in self.known:
+            found = weighted(text, self.shingles, self.log_weights)
+            if self.size > HELD:
+                self.known.clear()
+                self.size = 0
+            self.known[node] = found
+            self.size += len(found[0])
+        return self.known[node]
+
+
+def _more_samples(side: list[tuple], features: _Features) -> np.ndarray:
+    out, held, size = [], [], 0
+    for r in side:
+        held.append(features(r[1], r[5]))
+        size += len(held[-1][0])
+        if size > 100_000:
+            out.append(sample(held, MORE, 12, 12))
+            held, size = [], 0
+    if held:
+        out.append(sample(held, MORE, 12, 12))
+    return (np.concatenate(out) >> np.uint64(56)).astype("u1")
+
+
+def _block_links(rows: list[tuple], band: int, log_weights: np.ndarray, least: float) -> Iterator[tuple[bytes, bytes]]:
+    """Verified links across classes, at most one fewer than there are classes."""
+    left, right, i, j = _candidates(rows, band)
+    if not len(i):
+        return
+    features, parent = _Features(log_weights), {}
+    if len(rows) > LARGE:
+        more = _more_samples(left, features), _more_samples(right, features)
+        good = np.concatenate([(more[0][i[at : at + 10_000]] == more[1][j[at : at + 10_000]]).sum(axis=1) >= NEARER for at in range(0, len(i), 10_000)])
+        i, j = i[good], j[good]
+
+    def find(x: bytes) -> bytes:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for p, q in zip(i.tolist(), j.tolist()):
+        a, b = left[p], right[q]
+        x, y = find(a[2]), find(b[2])
+        if x != y and jaccard(features(a[1], a[5]), features(b[1], b[5])) >= least:
+            parent[x] = y
+            yield max(a[1], b[1]), min(a[1], b[1])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, int, list[tuple]]]:
+    """Key, band and rows of each block. Rows come sorted by bucket and pair of blocks; memory is bounded by two blocks."""
+    last, band, rows = None, 0, []
+    for batch in batches:
+        for key, i, j, at, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "band", *columns))):
+            if (key, i, j) != last:
+                if rows:
+                    yield last, band, rows
+                last, band, rows = (key, i, j), at, []
+            rows.append(tuple(row))
+    if rows:
+        yield last, band, rows
+
+
+PARTS = "key long, i long, j long, band int, side int, node binary, comp binary, brief binary, bands binary"
+
+
+def _taking_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a candidate in their block: those whose texts must be read."""
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 4
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    for key, band, rows in _by_block(batches, ("side", "node", "comp", "brief", "bands")):
+        left, right, i, j = _candidates(rows, band)
+        some = {(r[0], r[1]): r for r in [*(left[p] for p in np.unique(i)), *(right[q] for q in np.unique(j))]}
+        if some:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*((*key, band, *r) for r in some.values())), kinds)], names=names)
 
 
 def _across(batches: Iterator[pa.RecordBatch], log_weights, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and pair of blocks. Memory is bounded by two blocks."""
-    last, rows, found = None, [], []
+    found = []
 
     def out() -> pa.RecordBatch:
-        columns = list(zip(*found)) or [[], [], []]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "sure"])
+        return pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-    for batch in batches:
-        for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "comp", "brief", "bands", "band", "more", "text"))):
-            if (key, i, j) != last:
-                found += _block_pairs(rows, log_weights.value, least)
-                last, rows = (key, i, j), []
-                if len(found) > 50_000:
-                    yield out()
-                    found = []
-            rows.append(tuple(row))
-    found += _block_pairs(rows, log_weights.value, least)
+    for _, band, rows in _by_block(batches, ("side", "node", "comp", "brief", "bands", "text")):
+        found += _block_links(rows, band, log_weights.value, least)
+        if len(found) > 50_000:
+            yield out()
+            found = []
     yield out()
 
 
-def _more_samples(batches: Iterator[pa.RecordBatch], log_weights) -> Iterator[pa.RecordBatch]:
-    """node, text and MORE further samples, of eight bits each."""
-    shingles = shared_shingler()
-    for batch in batches:
-        for part in common.blocks(batch, limit=500_000):
-            drawn = sample([weighted(t, shingles, log_weights.value) for t in part.column("text").to_pylist()], MORE, 12, 12)
-            yield pa.record_batch([part.column("node"), part.column("text"), pa.array([x.tobytes() for x in (drawn >> np.uint64(56)).astype("u1")], pa.binary())], names=["node", "text", "more"])
+def _deal(held: DataFrame) -> DataFrame:
+    """Rows of mixed buckets (key, node, comp, with the bucket's number of rows n, its largest class top and the number of
+    rows outside it, rest), each in the pairs of blocks (i, j; side) in which it is compared. Blocks of rows outside the
+    largest class, 0 to outer - 1, meet each other and the blocks of the largest class, which don't meet each other.
+    A bucket of no more than one block is compared as it is."""
+    small, outside = F.col("n") <= BLOCK, F.col("comp") != F.col("top")
+    count = lambda n: F.ceil(n / F.lit(BLOCK))
+    held = held.withColumn("outer", F.when(small, 1).otherwise(count(F.col("rest")))).withColumn("inner", F.when(small, 0).otherwise(count(F.col("n") - F.col("rest"))))
+    digest = F.xxhash64("node")
+    own = F.when(small, 0).when(outside, F.pmod(digest, "outer")).otherwise(F.col("outer") + F.pmod(digest, "inner"))
+    held = held.withColumn("block", own.cast("long"))
+    others = F.when(outside & ~small, F.sequence(F.lit(0).cast("long"), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1))
+    held = held.withColumn("other", F.explode(others))
+    return held.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int")).drop("block", "other", "n", "top", "rest", "outer", "inner")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = FLOOR, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -336,33 +421,23 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
     wanted = named.join(own, (F.col("node") == F.col("text_id")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     bucket_text = common.cut(wanted.dropDuplicates(["node", "doc_id"]).select("node", "text"))
 
-    def links_of(some: DataFrame, first: bool) -> DataFrame:
-        text = bucket_text
-        if not first:  # later rounds need few of the texts
-            text = common.flag_members(text, "node", some.select(F.explode(F.array("a", "b")).alias("node"))).where("_maybe").select("node", "text")
-        a = some.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = a.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return common.cut(common.map_batches(both, partial(_verify, log_weights=log_weights, least=similarity), "a binary, b binary"))
-
-    links = links_of(pairs, True)
+    a = pairs.join(bucket_text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = a.join(bucket_text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    links = common.cut(common.map_batches(both, partial(_verify, log_weights=log_weights, least=similarity), "a binary, b binary"))
     comps = components(links)
     placed = common.cut(common.few(member.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp")), many))
-    sizes = common.few(placed, many).groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = common.few(sizes, many).where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), (F.col("n") > LARGE).alias("large"))
+    sizes = common.few(common.few(placed, many).groupBy("key", "comp").agg(F.count("*").alias("c")), many)
+    top = F.max(F.struct("c", "comp"))
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("n"), top["comp"].alias("top"), (F.sum("c") - top["c"]).alias("rest")).where("rest > 0")
     brief = nodes.select("node", "brief", F.col("packed").alias("bands")).join(own.select(F.col("text_id").alias("node")), "node", "left_semi")
     held = common.cut(common.few(common.spread_join(common.few(placed, many), mixed, "key"), many))
-    held = common.few(held, many).join(common.few(brief, n), "node")
-    large = bucket_text.join(held.where("large").select("node").distinct(), "node", "left_semi")
-    more = common.cut(common.few(common.map_batches(large, partial(_more_samples, log_weights=log_weights), "node binary, text string, more binary"), n))
-    none = [F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("more")]
-    held = held.where("large").join(more, "node").unionByName(held.where("not large").select("*", *none))
-    block = held.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "comp", "brief", "bands", "band", "more", "text")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = common.cut(common.few(common.map_batches(dealt, partial(_across, log_weights=log_weights, least=similarity), "a binary, b binary, sure boolean"), many))
-    found = common.few(found, many)
-    new = common.cut(common.few(found.where("not sure").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), many))
-    comps = components(links.unionByName(found.where("sure").select("a", "b")).unionByName(links_of(common.few(new, many), False)))
+    held = _deal(common.spread_join(held, common.few(brief, n), "node"))
+    dealt = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = common.cut(common.map_batches(dealt.select(*(f.split()[0] for f in PARTS.split(", "))), _taking_part, PARTS))
+    text = common.flag_members(bucket_text, "node", parts.select("node")).where("_maybe").select("node", "text")
+    parts = parts.join(text, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = common.cut(common.map_batches(parts, partial(_across, log_weights=log_weights, least=similarity), "a binary, b binary"))
+    comps = components(links.unionByName(found))
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     placed = common.few(common.few(rows, n).select("row_id", "doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), n)
     classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))

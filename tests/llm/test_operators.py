@@ -128,8 +128,9 @@ def copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("make", [copies, docs])
-def test_near_dedup(spark, make, monkeypatch):
+@pytest.mark.parametrize("make, block", [(copies, 512), (copies, 8), (docs, 512)])
+def test_near_dedup(spark, make, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = make(spark)
     weights, shingles = near_dedup.shingle_weights(rows), near_dedup.Shingler()
     found = {r["doc_id"]: near_dedup.weighted(r["text"], shingles, weights) for r in rows.collect()}
@@ -150,6 +151,55 @@ def test_near_dedup(spark, make, monkeypatch):
     assert got == {i: find(i) for i in ids}
 
 
+def test_a_stranger_in_a_hot_bucket(spark):
+    """The rows compared grow with the bucket, not with its square, and no two texts of the largest class meet."""
+    rows = [(7, 0, f"n{i:05}", "top", 20_003, "top", 3) for i in range(20_000)] + [(7, 0, f"x{i}", f"x{i}", 20_003, "top", 3) for i in range(3)]
+    dealt = near_dedup._deal(spark.createDataFrame(rows, "key long, band int, node string, comp string, n long, top string, rest long"))
+    n = dealt.count()
+    assert n == 20_000 + 3 * (1 + 40)
+    meets = {(r["i"], r["j"]) for r in dealt.where("comp <> 'top'").select("i", "j").distinct().collect()}
+    assert meets == {(0, j) for j in range(41)} and dealt.where("comp = 'top' and i > 0").count() == 0
+
+
+def test_links_across_classes():
+    """Verified links join classes that have one; texts of one class aren't compared."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    flat, shingles = np.zeros(1 << near_dedup.FREQUENCY_BITS, dtype=np.float32), near_dedup.Shingler()
+    rows = []
+    for i in range(120):
+        edit = list(base)
+        for _ in range(rng.randrange(6)):
+            edit[rng.randrange(200)] = "x" + str(rng.random())
+        features = near_dedup.weighted(" ".join(edit), shingles, flat)
+        drawn = near_dedup.sample([features])
+        rows.append((0, b"%03d" % i, b"c%d" % (i % 3), (drawn[0] >> np.uint64(48)).astype("<u2").tobytes(), near_dedup.bands(drawn)[0].tobytes(), " ".join(edit)))
+    for some in (rows, rows[:9]):
+        links = list(near_dedup._block_links(some, 0, flat, 0.8))
+        comp = {r[1]: r[2] for r in some}
+        assert len(links) == 2 and len({frozenset((comp[a], comp[b])) for a, b in links}) == 2
+
+
+def test_frequencies_keep_their_contrast():
+    """A rare shingle weighs about the same whatever load others bring to its entry; a frequent one weighs less."""
+    rng = np.random.default_rng(3)
+    for load, n in ((0, 10**4), (60, 10**6), (286_000, 10**9)):
+        df = rng.poisson(load, 1 << 16)
+        df[:100] += n // 20
+        w = np.exp(near_dedup.log_weights_of(df, n))
+        assert (w[100:] > 0.97).mean() > 0.99 and (w[:100] < 0.8).all()
+
+
+def test_long_texts_agree_as_often():
+    rng = np.random.default_rng(8)
+    for n in (300, 3_000, 20_000):
+        keys = np.sort(rng.integers(0, 1 << 63, n + n // 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        flat = np.zeros(n, dtype=np.float32)
+        a, b = (keys[:n], flat), (keys[n // 9 :], flat)
+        drawn = near_dedup.sample([a, b], 2000, 14, 5)
+        assert abs((drawn[0] == drawn[1]).mean() - near_dedup.jaccard(a, b)) < 0.03, n
+
+
 def test_weighted_sampling():
     """Samples agree as often as the weighted Jaccard similarity says."""
     rng = np.random.default_rng(2)
