@@ -253,6 +253,8 @@ def _tokens(text: str) -> list[str]:
 
 def run_keys(host: str, tokens: list[str], depth: int, starts: np.ndarray) -> np.ndarray:
     """Two whole numbers for the `depth` tokens from each of the starts on: a 128-bit digest of host and tokens."""
+    if not len(starts):
+        return np.zeros((0, 2), dtype=np.int64)
     own = blake2b(f"{len(host)}:{host}".encode(), digest_size=16)
     coded = [t.encode() for t in tokens]
     ends = np.cumsum([0, *(len(t) + 1 for t in coded)]).tolist()
@@ -278,7 +280,7 @@ def run_hashes(host: str, tokens: list[str], depth: int) -> tuple[np.ndarray, np
     if len(tokens) < depth:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     half = max(1, depth // 2)
-    code = _mixed(np.fromiter((crc32(t.encode()) for t in tokens), dtype=np.uint64, count=len(tokens)))
+    code = _mixed(np.fromiter(map(crc32, map(str.encode, tokens)), dtype=np.uint64, count=len(tokens)))
     short = np.full(len(tokens) - half + 1, crc32(host.encode()), dtype=np.uint64)
     for k in range(half):
         short = short * np.uint64(0xD6E8FEB86659FD93) + code[k : k + len(short)]
@@ -288,13 +290,6 @@ def run_hashes(host: str, tokens: list[str], depth: int) -> tuple[np.ndarray, np
     return np.lib.stride_tricks.sliding_window_view(_mixed(short), depth - half + 1).min(axis=1).view(np.int64), whole
 
 
-def sketch(text: str, runs: np.ndarray) -> tuple[int, ...]:
-    """Min-hashes of a body's runs, of 16 bits each; of a body too short for a run, of its text."""
-    if not len(runs):
-        runs = np.array([crc32(text.encode())], dtype=np.uint64)
-    return tuple(int(_mixed(runs * np.uint64(2 * k + 1) ^ np.uint64(0x94D049BB133111EB)).min() >> np.uint64(16)) & 0x7FFF for k in range(1, SKETCHES + 1))
-
-
 class Page:
     """A page's blocks, and the hashed runs of its body and of each dropped part."""
 
@@ -302,10 +297,13 @@ class Page:
         inner, every, self.chrome = page_blocks(page)
         self.marked = bool(inner)
         self.blocks = inner or every
-        text = "\n".join(self.blocks)
-        self.tokens = _tokens(text)
-        self.minima, runs = run_hashes(host, self.tokens, depth)
-        self.sketch = sketch(text, runs)
+        self.tokens = _tokens("\n".join(self.blocks))
+        self.minima, self.runs = run_hashes(host, self.tokens, depth)
+
+    def sketch(self, many: int = SKETCHES) -> tuple[int, ...]:
+        """Min-hashes of the body's runs, of 15 bits each; of a body too short for a run, of its text."""
+        runs = self.runs if len(self.runs) else np.array([crc32("\n".join(self.blocks).encode())], dtype=np.uint64)
+        return tuple(int(_mixed(runs * np.uint64(2 * k + 1) ^ np.uint64(0x94D049BB133111EB)).min() >> np.uint64(16)) & 0x7FFF for k in range(1, many + 1))
 
     def chrome_streams(self) -> list[list[str]]:
         """The tokens of each dropped part: no substring runs from one into the next."""
@@ -353,7 +351,7 @@ def _count_minima(batches: Iterator[pa.RecordBatch], depth: int, shard_pages: in
         for part in common.blocks(batch, "html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 p = Page(host, page, depth)
-                joint = crc32(repr(p.sketch[: SKETCHES - DIFFERING + 1]).encode()) >> 1
+                joint = crc32(repr(p.sketch(SKETCHES - DIFFERING + 1)).encode()) >> 1
                 body, chrome = np.unique(p.minima), np.unique(np.concatenate([p.minima[:0], *(run_hashes(host, t, depth)[0] for t in p.chrome_streams())]))
                 if p.marked:
                     articles.setdefault(host, []).append((body, joint))
@@ -380,6 +378,7 @@ def _places(batches: Iterator[pa.RecordBatch], depth: int, open_bits: Broadcast[
     else 0. Those of dropped parts without, added up for some pages. And a row for each article, of place -1."""
     names = [f.split()[0] for f in PLACES.split(", ")]
     chrome: list[tuple[np.ndarray, tuple[int, ...]]] = []
+    articles: list[tuple[bytes, int]] = []
     size = 0
 
     def batch_of(content: list, place: np.ndarray, keys: np.ndarray, kind: int, host_key: int, n: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -402,6 +401,13 @@ def _places(batches: Iterator[pa.RecordBatch], depth: int, open_bits: Broadcast[
         chrome.clear()
         yield batch_of([None] * len(groups), np.full(len(groups), -2), keys[first], 1, 0, n, spans)
 
+    def of_articles() -> pa.RecordBatch:
+        n = len(articles)
+        keys = np.array([[h, 0] for _, h in articles], dtype=np.int64).reshape(-1, 2)
+        out = batch_of([c for c, _ in articles], np.full(n, -1), keys, 2, 0, np.ones(n), [(np.zeros(n), np.zeros(n))] * SKETCHES)
+        articles.clear()
+        return out
+
     for batch in batches:
         for part in common.blocks(batch, "html"):
             for content, host, page in zip(*(part.column(c).to_pylist() for c in ("content", "host", "html"))):
@@ -409,7 +415,7 @@ def _places(batches: Iterator[pa.RecordBatch], depth: int, open_bits: Broadcast[
                 host_key = int.from_bytes(blake2b(host.encode(), digest_size=8).digest(), "little", signed=True)
                 beside = [run_keys(host, t, depth, _flagged(open_bits.value, run_hashes(host, t, depth)[0])) for t in p.chrome_streams() if len(t) >= depth]
                 if sum(map(len, beside)):
-                    chrome.append((np.unique(np.concatenate(beside), axis=0), p.sketch))
+                    chrome.append((np.unique(np.concatenate(beside), axis=0), p.sketch()))
                     size += len(chrome[-1][0])
                     if len(chrome) >= shard_pages or size >= SHARD_RUNS:
                         yield from of_chrome()
@@ -419,11 +425,14 @@ def _places(batches: Iterator[pa.RecordBatch], depth: int, open_bits: Broadcast[
                 if len(starts):
                     first[np.unique(keys, axis=0, return_index=True)[1]] = 1
                 if p.marked:  # the article itself, to be counted by host
-                    starts, first, keys = np.r_[starts, -1], np.r_[first, 1], np.r_[keys, [[host_key, 0]]]
+                    articles.append((content, host_key))
+                    if len(articles) >= shard_pages:
+                        yield of_articles()
                 if len(starts):
-                    same = [np.full(len(starts), x) for x in p.sketch]
+                    same = [np.full(len(starts), x) for x in p.sketch()]
                     yield batch_of([content] * len(starts), starts, keys, 2 if p.marked else 0, host_key, first, [(x, x) for x in same])
     yield from of_chrome()
+    yield of_articles()
 
 
 def _bitmap(members: DataFrame, key: str) -> np.ndarray:
@@ -479,10 +488,10 @@ def repeated_runs(rows: DataFrame, depth: int, shard_pages: int, site: int = SIT
     share = rows.sparkSession.sparkContext.broadcast
     open_bits, article_bits = share(_bitmap(spans.where("side = 0"), "m")), share(_bitmap(spans.where("side = 1 or chrome = 1"), "m"))
     find = partial(_places, depth=depth, open_bits=open_bits, article_bits=article_bits, shard_pages=shard_pages)
-    found = common.map_batches(rows.select("content", "host", "html"), find, PLACES)
+    found = common.cut(common.map_batches(rows.select("content", "host", "html"), find, PLACES))
     body = found.where("content is not null").dropDuplicates(["content", "place"])
     found = common.cut(body.unionByName(found.where("content is null")))
-    body, articles = found.where("place >= 0"), found.where("place = -1").groupBy("host_key").agg(F.count("*").alias("articles"))
+    body, articles = found.where("place >= 0"), found.where("place = -1").groupBy(F.col("a").alias("host_key")).agg(F.count("*").alias("articles"))
 
     def differ(kinds: Column) -> Column:
         """Most of the sketches differ among the rows of these kinds."""
