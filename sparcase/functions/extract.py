@@ -261,14 +261,20 @@ def table_rows(text: Column) -> Column:
     return F.filter(pairs, lambda p: ~F.lower(p["key"]).isin("campo", "field", "key") & (p["key"] != "") & (p["value"] != ""))
 
 
-def section(text: Column, starts: list[str], ends: list[str]) -> Column:
-    """From the earliest start heading to the nearest end heading after it, accents and case aside; null without one."""
+def section(text: Column, starts: list[str], ends: list[str], header: bool = True) -> Column:
+    """From the earliest start heading to the nearest end heading after it, accents and case aside; null without one.
+    Without `header` the heading at its beginning and colons after it are left out, and null is what has nothing else."""
     from .normalize import strip_accents
 
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     flat = strip_accents(F.upper(text))
     at = F.array_min(F.filter(F.array(*(F.locate(s, flat) for s in starts)), lambda i: i > 0))
     stop = F.array_min(F.filter(F.array(*(F.locate(e, F.substr(flat, at + 1)) for e in ends)), lambda i: i > 0))
-    return F.when(at.isNotNull(), F.trim(F.when(stop.isNotNull(), F.substr(text, at, stop)).otherwise(F.substr(text, at))))
+    found = strip(F.when(stop.isNotNull(), F.substr(text, at, stop)).otherwise(F.substr(text, at)))
+    if not header:
+        own = F.coalesce(*(F.when(F.startswith(F.upper(found), F.lit(s.upper())), F.lit(len(s))) for s in starts), F.lit(0))
+        found = F.when(own > 0, strip(F.regexp_replace(F.substr(found, own + 1), "^:+", ""))).otherwise(found)
+    return F.when(at.isNotNull(), F.nullif(found, F.lit("")))
 
 
 def keyword_amounts(text: Column, keywords: tuple[str, ...] = ("monto", "importe", "cantidad")) -> Column:
@@ -278,14 +284,34 @@ def keyword_amounts(text: Column, keywords: tuple[str, ...] = ("monto", "importe
     return F.array_distinct(F.concat(whole(every(text, r"\$\s*([0-9]{1,3}(?:[.,\s][0-9]{3})*|[0-9]+)", 1)), whole(every(text, rf"(?i)(?:{'|'.join(keywords)}){tail}", 1))))
 
 
-def scored_case_numbers(text: Column) -> Column:
-    """array(struct(score, value)) of case number candidates, best first (of equals the first found)."""
-    pattern = r"(?i)\b(?:expediente|exped\.?|exp\.?)\s*(?:no\.?|num\.?)?\s*[:#]?\s*([A-Za-z0-9\-/.]+)"
-    formal = F.lower(text).rlike("tribunal|juzgado|corte|judicial|legal")
-    ok = F.filter(every(text, pattern, 1), lambda c: F.length(c).between(3, 50) & c.rlike("[A-Za-z0-9]") & ~F.lower(c).isin("de", "del", "la", "el", "en", "por", "para"))
-    tenths = lambda c: 5 + 2 * c.rlike("[0-9]").cast("int") + c.rlike(r"\b[0-9]{4}\b").cast("int") + c.rlike("[/-]").cast("int") + formal.cast("int")
-    ranked = F.transform(ok, lambda c, i: F.struct((-F.least(tenths(c), F.lit(10))).alias("order"), i.alias("place"), c.alias("value")))
-    return F.transform(F.array_sort(ranked), lambda r: F.struct((-r["order"] / 10.0).alias("score"), r["value"].alias("value")))
+#: How case numbers are introduced, words that are none, and words of a formal context.
+CASE_NUMBERS = (
+    r"(?i)\b(?:expediente|exp\.?|exped\.?)\s*[:#]?\s*([A-Za-z0-9\-/.]+)",
+    r"(?i)\b(?:no\.?\s*)?expediente\s+([A-Za-z0-9\-/.]+)",
+    r"(?i)\bexp\.?\s+no\.?\s*([A-Za-z0-9\-/.]+)",
+    r"(?i)\bexpediente\s+num\.?\s*([A-Za-z0-9\-/.]+)",
+)
+NO_CASE_NUMBERS = ("de", "del", "la", "el", "en", "por", "para")
+FORMAL = ("tribunal", "juzgado", "corte", "judicial", "legal")
+
+
+def scored_case_numbers(text: Column, least: float = 0.6) -> Column:
+    """array(struct(score, value)) of case number candidates of all patterns, best first (of equals the greatest value).
+
+    0.5, with 0.2 for digits and 0.1 each for a year, a slash or hyphen, and a formal word within 50 characters."""
+    found = F.concat(*(F.zip_with(every(text, p), every(text, p, 1), lambda whole, v: F.struct(whole.alias("whole"), v.alias("value"))) for p in CASE_NUMBERS))
+    ok = F.filter(found, lambda c: F.length(c["value"]).between(3, 50) & c["value"].rlike("[A-Za-z0-9]") & ~F.lower(c["value"]).isin(*NO_CASE_NUMBERS))
+
+    def scored(c: Column) -> Column:
+        at = F.position(c["whole"], text)
+        begin = F.greatest(at - 50, F.lit(1))
+        context = F.lower(F.substr(text, begin, at - begin + F.length(c["whole"]) + 50))
+        v = c["value"]
+        tenths = 5 + 2 * v.rlike("[0-9]").cast("int") + v.rlike(r"\b[0-9]{4}\b").cast("int") + v.rlike("[/-]").cast("int") + context.rlike("|".join(FORMAL)).cast("int")
+        return F.struct(F.least(tenths, F.lit(10)).alias("tenths"), F.upper(v).alias("value"))
+
+    ranked = F.filter(F.transform(ok, scored), lambda r: r["tenths"] >= round(10 * least))
+    return F.transform(F.sort_array(ranked, asc=False), lambda r: F.struct((r["tenths"] / 10.0).alias("score"), r["value"].alias("value")))
 
 
 #: Kinds of requirements, and the words that open each.
@@ -316,29 +342,64 @@ def requirement_confidence(found: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.least(F.floor(100.0 * known / n).cast("int") + F.least(2 * n, F.lit(20)), F.lit(100)))
 
 
-#: Kinds of authorities by words in their names, in order.
+#: Kinds of authorities by what their lower-cased names contain, in order.
 AUTHORITY_TYPES = (
-    ("juzgado", r"JUZGADO"), ("tribunal", r"TRIBUNAL"), ("fiscalia", r"FISCAL[IÍ]A|PROCURADUR[IÍ]A"), ("sat", r"\bSAT\b|ADMINISTRACI[OÓ]N TRIBUTARIA"), ("imss", r"\bIMSS\b|SEGURO SOCIAL"),
-    ("infonavit", r"INFONAVIT"), ("cnbv", r"\bCNBV\b|COMISI[OÓ]N NACIONAL BANCARIA"), ("uif", r"\bUIF\b|INTELIGENCIA FINANCIERA"), ("secretaria", r"SECRETAR[IÍ]A"), ("direccion", r"DIRECCI[OÓ]N"),
+    ("Fiscalía", r"fiscal[ií]a|fiscal general"),
+    ("Procuraduría", r"procuradur[ií]a"),
+    ("Juzgado", r"juzgado"),
+    ("Tribunal", r"tribunal"),
+    ("Secretaría", r"secretar[ií]a"),
+    ("Dirección", r"direcci[oó]n"),
+    ("Administración", r"administraci[oó]n"),
+    ("Consejo", r"consejo"),
+    ("Comisión", r"comisi[oó]n"),
+    ("Delegación", r"delegaci[oó]n"),
+    ("Subdelegación", r"subdelegaci[oó]n"),
+    ("Agencia", r"agencia"),
+    ("Unidad", r"unidad"),
+    ("Sala", r"sala\s"),
+    ("Pleno", r"pleno\s"),
+    ("Centro", r"centro\s"),
+    ("Coordinación", r"coordinaci[oó]n"),
+    ("Subadministración", r"subadministraci[oó]n"),
+    ("Instituto", r"instituto"),
+    ("Órgano", r"[oó]rgano"),
 )
 
 
 def authority_type(c: Column) -> Column:
-    return F.coalesce(*(F.when(F.upper(c).rlike(p), F.lit(name)) for name, p in AUTHORITY_TYPES), F.lit("otro"))
+    """By the first pattern in a name; names that contain a longer kind's stem count as the earlier kind."""
+    return F.coalesce(*(F.when(F.lower(c).rlike(p), F.lit(name)) for name, p in AUTHORITY_TYPES), F.lit("Otro"))
+
+
+def tidy_authority(c: Column) -> Column:
+    """White space collapsed, commas and full stops at the end removed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " "), r"\s*[,.]+$", "")
+
+
+def jurisdiction(c: Column) -> Column:
+    low = F.lower(c)
+    return F.when(low.contains("federal"), "Federal").when(low.contains("ciudad de méxico") | low.contains("cdmx"), "Ciudad de México")
 
 
 def quality_grade(confidence: Column) -> Column:
-    return F.when(confidence >= 0.9, "excellent").when(confidence >= 0.75, "good").when(confidence >= 0.5, "fair").otherwise("poor")
+    """struct(grade, review): HIGH from 0.8 on, which needs no review, MEDIUM from 0.5 on, else LOW."""
+    grade = F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "MEDIUM").otherwise("LOW")
+    return F.struct(grade.alias("grade"), (grade != "HIGH").alias("review"))
 
 
-def json_object(c: Column) -> Column:
-    """The text of the first JSON object in a model's answer, with trailing commas and code fences removed; null if
-    what is left doesn't parse."""
-    bare = F.regexp_replace(F.regexp_extract(c, r"(?s)\{.*\}", 0), r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(bare).isNotNull() & (bare != ""), bare)
+#: What a measure is called in the result.
+MEASURES = {"Block": "Aseguramiento", "Unblock": "Desbloqueo", "Document": "Documentacion", "Transfer": "Transferencia", "Information": "Informacion", "Ignore": "Ignorar", "Other": "Otro"}
 
 
 def measure_hint(flag: Column, text: Column) -> Column:
-    """What an XML case asks for: its flag, its words, then by the stems."""
-    up = F.upper(text)
-    return F.when(flag, "Block").when(up.rlike("DEJAR SIN EFECTOS|ELIMINA|REANUD"), "Unblock").when(up.rlike("COPIA CERTIFICADA|DOCUMENT"), "Document").when(up.contains("TRANSFER"), "Transfer").otherwise(F.when(action_kind(text).isin("Other", "Unknown"), "Information").otherwise(action_kind(text)))
+    """What an XML case asks for: its flag, its words, then by the stems. Without any text it asks for information."""
+    up, by_stem = F.upper(text), action_kind(text)
+    kind = F.when(flag, "Block").when(up.rlike("DEJAR SIN EFECTOS|ELIMINA|REANUD"), "Unblock").when(up.rlike("COPIA CERTIFICADA|DOCUMENT"), "Document").when(up.contains("TRANSFER"), "Transfer")
+    kind = kind.when(by_stem == "Unknown", "Information").otherwise(by_stem)
+    return F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in MEASURES.items()))
+
+
+def subdivision_hint(c: Column) -> Column:
+    """The area's words in title case, run together, without the accents of small letters."""
+    return F.translate(F.replace(F.initcap(F.lower(c)), F.lit(" "), F.lit("")), "íáéóú", "iaeou")

@@ -74,11 +74,13 @@ def comparable_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.upper(c)), r"[^A-Z0-9 ]", " "), " +", " "))
 
 
-def name_quality(name: Column, extra: Column) -> Column:
-    """Which spelling of a name to keep: mixed case and a middling length speak for it."""
-    mixed = F.when((F.upper(name) != name) & (F.lower(name) != name), 5).when(F.upper(name) == name, -10).otherwise(0)
+def name_quality(name: Column) -> Column:
+    """Which spelling of a name to keep: mixed case, a middling length and words that complete a court's name speak for it."""
+    upper, lower = F.upper(name) != name, F.lower(name) != name
+    mixed = F.when(~upper & lower, -10).when(upper & lower, 5).otherwise(0)
     size = F.when(F.length(name).between(20, 80), 10).when(F.length(name) > 80, -5).otherwise(0)
-    return mixed + size - F.when(name.rlike(r"[0-9]+$"), 5).otherwise(0) + F.when(~blank(extra), 3).otherwise(0)
+    whole = F.upper(name).contains("CON RESIDENCIA") | F.upper(name).contains("DEL DISTRITO")
+    return mixed + size - F.when(name.rlike(r"[0-9]+$"), 5).otherwise(0) + F.when(whole, 3).otherwise(0)
 
 
 #: Distinct names of a type in a block; pairs of blocks are compared, so no task grows with a type.
@@ -151,6 +153,7 @@ def cluster_names(rows: DataFrame, threshold: int = 85, shortest: int = 0, block
 
 
 def survivors(clustered: DataFrame) -> DataFrame:
-    """seed, name, region, n of clusters (seed, name, region): the best spelling, the first region that is known."""
-    quality = name_quality(F.col("name"), F.col("region"))
-    return clustered.groupBy("type", "seed").agg(F.max_by("name", F.struct(quality.alias("q"), F.length("name").alias("l"), F.col("name"))).alias("name"), F.min_by("region", F.struct(F.col("region").isNull(), F.col("place"))).alias("region"), F.count("*").alias("n"))
+    """seed, name, region, n of clusters (seed, name, region): the best spelling, of equals the longest, then the first; the
+    first region that is known."""
+    quality = name_quality(F.col("name"))
+    return clustered.groupBy("type", "seed").agg(F.max_by("name", F.struct(quality.alias("q"), F.length("name").alias("l"), (-F.col("place")).alias("p"))).alias("name"), F.min_by("region", F.struct(F.col("region").isNull(), F.col("place"))).alias("region"), F.count("*").alias("n"))

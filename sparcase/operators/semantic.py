@@ -2,53 +2,123 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ..functions.sequence import common_length
+from ..functions.sequence import common_length, letter_places
 
-#: Phrases of each kind of directive, in order of detection.
+#: The phrases of each kind of directive, and the kinds in order of detection.
 PHRASES = {
-    "Unblock": ("desbloqueo de cuenta", "desbloqueo de fondos", "liberación de fondos", "levantamiento de aseguramiento", "desembargo de cuenta", "liberar recursos"),
-    "Block": ("aseguramiento de fondos", "aseguramiento precautorio", "bloqueo de cuenta", "bloqueo de fondos", "congelamiento de recursos", "embargo de cuenta"),
-    "Transfer": ("transferencia de fondos", "transferencia electrónica", "giro bancario", "traspaso de fondos"),
-    "Document": ("solicitud de documentos", "estados de cuenta", "entrega de documentación", "constancia de saldos"),
-    "Information": ("solicitud de información", "requerimiento de información", "reporte de movimientos", "informar sobre"),
+    "Unblock": (
+        "desbloqueo de cuenta", "desbloqueo de cuentas", "desbloqueo de fondos", "desbloqueo de recursos",
+        "desaseguramiento de fondos", "desaseguramiento de cuenta", "desaseguramiento de recursos",
+        "liberación de fondos", "liberación de recursos", "liberación de cuenta",
+        "descongelamiento de recursos", "descongelamiento de fondos",
+        "levantamiento de aseguramiento", "levantamiento del aseguramiento", "levantamiento de bloqueo", "levantamiento del bloqueo",
+        "desembargo de cuenta", "desembargo de cuentas",
+        "desbloquear cuenta", "desbloquear cuentas", "liberar fondos", "liberar recursos", "descongelar recursos",
+    ),
+    "Block": (
+        "aseguramiento de fondos", "aseguramiento de la cuenta", "aseguramiento de cuentas", "aseguramiento de recursos", "aseguramiento precautorio",
+        "bloqueo de cuenta", "bloqueo de cuentas", "bloqueo de fondos", "bloqueo temporal", "bloqueo preventivo",
+        "congelamiento de recursos", "congelamiento de fondos", "congelamiento de activos",
+        "embargo de cuenta", "embargo de cuentas", "embargo precautorio",
+        "inmovilización de recursos", "inmovilización de fondos", "retención de fondos", "retención de recursos",
+        "asegurar fondos", "asegurar recursos", "bloquear cuenta", "bloquear cuentas", "congelar recursos", "embargar cuenta", "retener fondos",
+    ),
+    "Transfer": (
+        "transferencia de fondos", "transferencia de recursos", "transferencia bancaria", "transferencia electrónica",
+        "giro de fondos", "giro bancario", "traspaso de fondos", "traspaso de recursos", "envío de fondos", "remisión de fondos",
+        "transferir fondos", "transferir recursos", "enviar fondos", "girar fondos",
+    ),
+    "Document": (
+        "solicitud de documentación", "solicitud de documentos", "solicito estados de cuenta", "estados de cuenta", "solicito información",
+        "entrega de documentación", "entrega de documentos", "presentación de documentación", "presentación de documentos",
+        "expedición de constancia", "expedición de certificado", "expedición de comprobante",
+        "certificación de saldos", "certificación de movimientos", "constancia de saldos",
+        "documentación correspondiente", "documentación requerida", "documentación solicitada",
+        "expedir constancia", "expedir certificado", "entregar documentos", "presentar documentación", "proporcionar documentación",
+    ),
+    "Information": (
+        "solicitud de información", "petición de información", "requerimiento de información", "información solicitada", "información requerida",
+        "reporte de movimientos", "reporte de operaciones", "reporte de saldos",
+        "notificación de operaciones", "notificación de movimientos", "comunicación de datos", "comunicación de información",
+        "informar sobre", "reportar movimientos", "reportar operaciones", "comunicar información", "proporcionar información",
+    ),
 }
 THRESHOLD = 0.85
+#: Windows of a text that are counted at once; bounds memory, changes no result.
+WINDOWS = 1024
 
 
-def best_score(phrase: str, words: list[str]) -> float:
-    """The ratio of the window of words most like the phrase; windows have from one word less to two more."""
-    n, best = len(phrase.split()), 0.0
-    for size in range(max(1, n - 1), n + 3):
-        for i in range(len(words) - size + 1):
-            window = " ".join(words[i : i + size])
-            total = len(window) + len(phrase)
-            if 2 * min(len(window), len(phrase)) / total >= THRESHOLD:
-                best = max(best, int(200 * common_length(phrase, window) / total + 0.5) / 100)
-    return best
+class PhraseScores:
+    """Finds, for each phrase, the score of the window of words most like it, where that reaches the threshold.
 
+    Windows have from one word less than the phrase to two more. How many letters window and phrase share, whatever their
+    order, bounds the common subsequence from above, so only windows that the bound admits are compared letter by letter."""
 
-def directives_of(text: str) -> list[tuple[str, float, str]]:
-    up = text.upper()
-    words = up.split()
-    out = []
+    def __init__(self, phrases: list[str], threshold: float = THRESHOLD):
+        self.phrases = [p.strip().upper() for p in phrases]
+        self.least = 100 * threshold - 0.5  # a ratio is rounded to a whole number of hundredths
+        letters = sorted(set("".join(self.phrases)))
+        self.index = {x: i for i, x in enumerate(letters)}
+        self.bags = np.array([self._bag(p) for p in self.phrases], dtype=np.int32)
+        self.words = np.array([len(p.split()) for p in self.phrases])
+        self.sizes = np.array([len(p) for p in self.phrases])
+        self.places = [letter_places(p) for p in self.phrases]
+
+    def _bag(self, text: str) -> list[int]:
+        out = [0] * len(self.index)
+        for x in text:
+            if x in self.index:
+                out[self.index[x]] += 1
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        up = text.upper()
+        words = [w for w in up.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
+        best = np.zeros(len(self.phrases))
+        if not words:
+            return best
+        sums = np.cumsum([[0] * len(self.index), *map(self._bag, words)], axis=0, dtype=np.int32)
+        ends = np.cumsum([0, *(len(w) + 1 for w in words)])
+        space = self.index.get(" ")
+        for size in range(max(1, int(self.words.min()) - 1), min(len(words), int(self.words.max()) + 2) + 1):
+            some = np.flatnonzero((size >= np.maximum(1, self.words - 1)) & (size <= self.words + 2) & (self.sizes <= len(up)))
+            for at in range(0, len(words) - size + 1, WINDOWS) if len(some) else ():
+                to = min(at + WINDOWS, len(words) - size + 1)
+                bags = sums[at + size : to + size] - sums[at:to]
+                if space is not None:
+                    bags[:, space] += size - 1
+                total = (ends[at + size : to + size] - ends[at:to] - 1)[:, None] + self.sizes[some][None, :]
+                bound = sum(np.minimum(bags[:, k, None], self.bags[None, some, k]) for k in range(len(self.index)))
+                for i, j in zip(*np.nonzero(200 * bound >= self.least * total)):
+                    p, window = int(some[j]), " ".join(words[at + i : at + i + size])
+                    score = int(200 * common_length(self.phrases[p], window, self.places[p]) / int(total[i, j]) + 0.5) / 100
+                    best[p] = max(best[p], score)
+        return best
+
+
+def directives_of(text: str, scores: PhraseScores) -> list[tuple[str, float, str]]:
+    """Of each kind the phrase of the best score, the first of equals, if it reaches the threshold."""
+    best, at, out = scores(text), 0, []
     for kind, phrases in PHRASES.items():
-        scored = [(1.0 if p.upper() in up else best_score(p.upper(), words), -i, p) for i, p in enumerate(phrases)]
-        score, _, phrase = max(scored)
-        if score >= THRESHOLD:
-            out.append((kind, score, phrase))
+        own = best[at : at + len(phrases)]
+        at += len(phrases)
+        if own.max() >= THRESHOLD:
+            out.append((kind, float(own.max()), phrases[int(own.argmax())]))
     return out
 
 
 @pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("score", DoubleType()), StructField("phrase", StringType())])))
 def semantic_directives(texts: pd.Series) -> pd.Series:
     """Of each kind that has a phrase in the text the best one, the first of equals; null counts as empty."""
-    return texts.map(lambda t: [{"kind": k, "score": s, "phrase": p} for k, s, p in directives_of(t or "")])
+    scores = PhraseScores([p for phrases in PHRASES.values() for p in phrases])
+    return texts.map(lambda t: [{"kind": k, "score": s, "phrase": p} for k, s, p in directives_of(t or "", scores)])
 
 
 def as_actions(found: Column) -> Column:

@@ -131,10 +131,43 @@ def suggest(rows: DataFrame) -> list[Mapping]:
     return [Mapping(p, p.rpartition(".")[2], i) for i, p in enumerate(field_paths(rows.schema))]
 
 
-def check_configuration(settings: dict) -> list[str]:
-    """Settings out of their range. Ranges: confidence 0..1, concurrency 1..64, timeout 1..3600 s, retries 0..10."""
-    ranges = {"confidence": (0, 1), "concurrency": (1, 64), "timeout_seconds": (1, 3600), "retries": (0, 10)}
-    return [k for k, (a, b) in ranges.items() if k in settings and not a <= settings[k] <= b]
+#: Codes of languages, output formats, and for each figure the range that is an error to leave and the one
+#: beyond which there is a warning (None: no bound). Values at a bound are within.
+LANGUAGES = ("eng", "spa", "fra", "deu", "ita", "por", "rus", "jpn", "kor", "chi_sim", "chi_tra", "ara", "heb", "tha", "vie", "tur", "pol", "ces", "hun", "swe", "nor", "dan", "fin", "nld", "ell", "bul", "hrv", "slv", "est", "lav", "lit", "mlt", "ron", "slk", "sqi")
+OUTPUT_FORMATS = ("json", "xml", "csv", "txt", "pdf")
+SETTINGS = {
+    "oem": ((0, 3), (None, None)),
+    "psm": ((0, 13), (None, None)),
+    "confidence": ((0, 1), (0.5, 0.95)),
+    "timeout_seconds": ((1, 3600), (None, None)),
+    "max_retries": ((0, None), (None, 10)),
+    "retry_delay_seconds": ((0, None), (None, 300)),
+    "max_file_size_mb": ((1, None), (None, 100)),
+    "max_concurrency": ((1, None), (None, 20)),
+    "batch_size": ((1, None), (None, 100)),
+    "max_memory_mb": ((1, None), (None, 2048)),
+}
+
+
+def configuration_problems(columns: dict[str, Column]) -> Column:
+    """struct(errors, warnings): names of the settings out of their range, in order; settings that aren't given are not
+    looked at. A language is required and known, a fallback language and an output format are known where they are given.
+    An error leaves no warning of the same figure, but for confidence."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    errors, warnings = [], []
+    for name, known, required in (("language", LANGUAGES, True), ("fallback_language", LANGUAGES, False), ("output_format", OUTPUT_FORMATS, False)):
+        if name in columns:
+            c = columns[name]
+            errors.append(F.when(F.when(empty(c), F.lit(required)).otherwise(~F.lower(c).isin(*known)), name))
+    outside = lambda c, low, high: (F.lit(False) if low is None else c < low) | (F.lit(False) if high is None else c > high)
+    for name, (hard, soft) in SETTINGS.items():
+        if name in columns:
+            wrong = outside(columns[name], *hard)
+            errors.append(F.when(wrong, name))
+            warnings.append(F.when(outside(columns[name], *soft) & (F.lit(True) if name == "confidence" else ~wrong), name))
+    none = F.array().cast("array<string>")
+    listed = lambda found: F.array_compact(F.array(*found)) if found else none
+    return F.struct(listed(errors).alias("errors"), listed(warnings).alias("warnings"))
 
 
 def as_of(text: str) -> datetime:

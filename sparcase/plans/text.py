@@ -8,6 +8,8 @@ from ..functions import extract as X
 from ..functions import normalize as N
 from ..functions import similarity as S
 from ..functions import validate as V
+from ..functions.jsontext import json_repaired
+from ..operators import templates
 from . import inputs as I
 from .registry import query, table
 
@@ -21,12 +23,12 @@ def _sanitized(c: str) -> str:
     return f"CASE WHEN upper({step}) IN ({_REMARKS}) OR regexp_matches({step}, '^[ _]*$') THEN NULL ELSE {step} END"
 
 
-_RAW = """CASE c.turn % 6 WHEN 0 THEN '  ' || left(text, 40) || '&nbsp;  x ' WHEN 1 THEN 'no aplica' WHEN 2 THEN '_ _' WHEN 3 THEN left(text, 30) || chr(13) || chr(10) || 'a  b' WHEN 4 THEN '&amp;nbsp;' ELSE text END"""
+_RAW = """CASE c.turn % 6 WHEN 0 THEN '  ' || text || '&nbsp;  x ' WHEN 1 THEN 'no aplica' WHEN 2 THEN '_ _' WHEN 3 THEN text || chr(13) || chr(10) || 'a  b' WHEN 4 THEN '&amp;nbsp;' ELSE text END"""
 
 
 def _raw(spark, d):
     turn, text = F.col("turn") % 6, F.col("text")
-    raw = F.when(turn == 0, F.concat(F.lit("  "), F.left(text, F.lit(40)), F.lit("&nbsp;  x "))).when(turn == 1, "no aplica").when(turn == 2, "_ _").when(turn == 3, F.concat(F.left(text, F.lit(30)), F.lit("\r\na  b"))).when(turn == 4, "&amp;nbsp;").otherwise(text)
+    raw = F.when(turn == 0, F.concat(F.lit("  "), text, F.lit("&nbsp;  x "))).when(turn == 1, "no aplica").when(turn == 2, "_ _").when(turn == 3, F.concat(text, F.lit("\r\na  b"))).when(turn == 4, "&amp;nbsp;").otherwise(text)
     return table(spark, d, "conversations").select("conv_id", "turn", raw.alias("raw"))
 
 
@@ -82,14 +84,8 @@ def san06_account_and_swift(spark, d):
     return I.identifiers(spark, d).select("case_id", both["account"]["cleaned"].alias("account"), both["swift"]["cleaned"].alias("swift"))
 
 
-@query("SELECT doc_id, " + _PLAIN.format("upper(trim(regexp_replace(replace(left(text, 200), 'ß', 'ss'), '\\s+', ' ', 'g')))") + " AS name FROM documents")
+@query("SELECT doc_id, " + _PLAIN.format("upper(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))") + " AS name FROM documents")
 def san07_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", N.normalize_name(F.left("text", F.lit(200))).alias("name"))
-
-
-@query()
-def san07_name_whole(spark, d):
-    """As san07_name, whose SQL reads 200 characters, over whole texts. DuckDB upper-cases some letters otherwise; the tests hold it against brute force."""
     return table(spark, d, "documents").select("doc_id", N.normalize_name(F.col("text")).alias("name"))
 
 
@@ -107,14 +103,8 @@ def san09_ocr_id(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), N.fix_ocr_id(raw).alias("id"))
 
 
-@query("SELECT doc_id, translate(upper(trim(regexp_replace(replace(left(text, 100), 'ß', 'ss') || ' — x – y', '\\s+', ' ', 'g'))), '–—', '--') AS text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, translate(upper(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g'))), '–—', '--') AS text FROM documents")
 def san10_truth(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", N.normalize_truth(F.concat(F.left("text", F.lit(100)), F.lit(" — x – y"))).alias("text"))
-
-
-@query()
-def san10_truth_whole(spark, d):
-    """As san10_truth, whose SQL reads 100 characters of English rows, over whole texts of every language, none included. The tests hold it against brute force."""
     return table(spark, d, "documents").select("doc_id", N.normalize_truth(F.col("text")).alias("text"))
 
 
@@ -316,11 +306,13 @@ _FLAT = _PLAIN.format("upper(text)")
 
 @query(
     f"""WITH {I.NOTICES}, p AS (SELECT case_id, text, {_FLAT} AS flat, list_min(list_filter([strpos(flat, 'OFICIO'), strpos(flat, 'RFC')], lambda i: i > 0)) AS s FROM notices),
-      q AS (SELECT *, list_min(list_filter([strpos(substr(flat, s + 1), 'ACUERDO'), strpos(substr(flat, s + 1), 'PLAZO')], lambda i: i > 0)) AS e FROM p)
-    SELECT case_id, CASE WHEN s IS NOT NULL THEN trim(CASE WHEN e IS NOT NULL THEN substr(text, s, e) ELSE substr(text, s) END) END AS section FROM q"""
+      q AS (SELECT *, list_min(list_filter([strpos(substr(flat, s + 1), 'ACUERDO'), strpos(substr(flat, s + 1), 'PLAZO')], lambda i: i > 0)) AS e FROM p),
+      r AS (SELECT case_id, CASE WHEN s IS NOT NULL THEN trim(CASE WHEN e IS NOT NULL THEN substr(text, s, e) ELSE substr(text, s) END) END AS section FROM q)
+    SELECT case_id, section, CASE WHEN upper(section) LIKE 'OFICIO%' THEN nullif(trim(ltrim(substr(section, 7), ':')), '') WHEN upper(section) LIKE 'RFC%' THEN nullif(trim(ltrim(substr(section, 4), ':')), '') ELSE section END AS body FROM r"""
 )
 def ext24_section(spark, d):
-    return I.notices(spark, d).select("case_id", X.section(F.col("text"), ["OFICIO", "RFC"], ["ACUERDO", "PLAZO"]).alias("section"))
+    ends = lambda header: X.section(F.col("text"), ["OFICIO", "RFC"], ["ACUERDO", "PLAZO"], header)
+    return I.notices(spark, d).select("case_id", ends(True).alias("section"), ends(False).alias("body"))
 
 
 @query(
@@ -334,17 +326,31 @@ def ext25_26_amounts_dates(spark, d):
     return I.notices(spark, d).select("case_id", F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x)).alias("total"), F.size(X.dates(t)).alias("n_dates"))
 
 
-_CANDIDATES = r"(?i)\b(?:expediente|exped\.?|exp\.?)\s*(?:no\.?|num\.?)?\s*[:#]?\s*([A-Za-z0-9\-/.]+)"
+def _introduced(pattern: str, place: int) -> str:
+    each = f"regexp_extract_all(text, '{pattern}', {{}})"
+    return f"list_transform(list_zip({each.format(0)}, {each.format(1)}), lambda x: {{'w': x[1], 'v': x[2]}})"
+
+
+_VALUE = r"([A-Za-z0-9\-/.]+)"
+_INTRODUCED = [rf"(?i)\b(?:expediente|exp\.?|exped\.?)\s*[:#]?\s*{_VALUE}", rf"(?i)\b(?:no\.?\s*)?expediente\s+{_VALUE}", rf"(?i)\bexp\.?\s+no\.?\s*{_VALUE}", rf"(?i)\bexpediente\s+num\.?\s*{_VALUE}"]
 
 
 @query(
-    f"""WITH {I.NOTICES}, c AS (SELECT case_id, unnest(list_filter(list_transform(regexp_extract_all(text, '{_CANDIDATES}', 1), lambda x, i: {{'v': x, 'i': i}}), lambda s: length(s.v) BETWEEN 3 AND 50 AND lower(s.v) NOT IN ('de', 'del', 'la', 'el', 'en', 'por', 'para'))) AS s, text FROM notices),
-      g AS (SELECT case_id, s.v AS value, s.i AS place, least(5 + 2 * regexp_matches(s.v, '[0-9]')::int + regexp_matches(s.v, '\\b[0-9]{{4}}\\b')::int + regexp_matches(s.v, '[/-]')::int + regexp_matches(lower(text), 'tribunal|juzgado|corte|judicial|legal')::int, 10) AS tenths FROM c)
-    SELECT n.case_id, b.value, b.tenths / 10.0::double AS score FROM notices n LEFT JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY tenths DESC, place) = 1) b USING (case_id)"""
+    f"""WITH {I.NOTICES}, t AS (SELECT case_id, CASE case_id % 4 WHEN 0 THEN replace(text, 'Expediente', 'Tribunal, expediente no.') WHEN 1 THEN replace(text, 'Expediente', 'Exp. No.') WHEN 2 THEN replace(text, 'Expediente', 'EXPEDIENTE NUM.') ELSE text END AS text FROM notices),
+      c AS (SELECT case_id, text, unnest(list_concat(list_concat({_introduced(_INTRODUCED[0], 0)}, {_introduced(_INTRODUCED[1], 1)}), list_concat({_introduced(_INTRODUCED[2], 2)}, {_introduced(_INTRODUCED[3], 3)}))) AS s FROM t),
+      g AS (SELECT case_id, upper(s.v) AS value, least(5 + 2 * regexp_matches(s.v, '[0-9]')::int + regexp_matches(s.v, '\\b[0-9]{{4}}\\b')::int + regexp_matches(s.v, '[/-]')::int
+        + regexp_matches(lower(substr(text, greatest(strpos(text, s.w) - 50, 1), strpos(text, s.w) - greatest(strpos(text, s.w) - 50, 1) + length(s.w) + 50)), 'tribunal|juzgado|corte|judicial|legal')::int, 10) AS tenths
+        FROM c WHERE length(s.v) BETWEEN 3 AND 50 AND regexp_matches(s.v, '[A-Za-z0-9]') AND lower(s.v) NOT IN ('de', 'del', 'la', 'el', 'en', 'por', 'para'))
+    SELECT n.case_id, b.value, b.tenths / 10.0::double AS score, coalesce(k.n, 0)::int AS n FROM notices n LEFT JOIN (SELECT * FROM g WHERE tenths >= 6 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY tenths DESC, value DESC) = 1) b USING (case_id)
+      LEFT JOIN (SELECT case_id, count(*) AS n FROM g WHERE tenths >= 6 GROUP BY 1) k USING (case_id)"""
 )
 def ext27_39_case_candidates(spark, d):
-    best = F.get(X.scored_case_numbers(F.col("text")), F.lit(0))
-    return I.notices(spark, d).select("case_id", best["value"].alias("value"), best["score"].cast("double").alias("score"))
+    k, text = F.col("case_id") % 4, F.col("text")
+    as_ = lambda by: F.replace(text, F.lit("Expediente"), F.lit(by))
+    rows = I.notices(spark, d).select("case_id", F.when(k == 0, as_("Tribunal, expediente no.")).when(k == 1, as_("Exp. No.")).when(k == 2, as_("EXPEDIENTE NUM.")).otherwise(text).alias("text"))
+    rows = rows.select("case_id", X.scored_case_numbers(text).alias("found"))
+    best = F.get("found", F.lit(0))
+    return rows.select("case_id", best["value"].alias("value"), best["score"].cast("double").alias("score"), F.size("found").alias("n"))
 
 
 _KIND = "CASE WHEN regexp_matches(lower({0}), 'desbloqueo|desbloquear') THEN 'desbloqueo' WHEN regexp_matches(lower({0}), 'bloqueo|bloquear') THEN 'bloqueo' WHEN regexp_matches(lower({0}), 'transferencia|transferir') THEN 'transferencia' WHEN regexp_matches(lower({0}), 'documentación|documento') THEN 'documentacion' WHEN regexp_matches(lower({0}), 'información|informar') THEN 'informacion' ELSE 'general' END"
@@ -371,7 +377,7 @@ def ext29_instruments(spark, d):
 
 @query(
     f"""WITH {I.NOTICES}, e AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '(?i)Juzgado \\w+|tribunal|\\bSAT\\b'))) AS name FROM notices)
-    SELECT name, CASE WHEN contains(name, 'JUZGADO') THEN 'juzgado' WHEN contains(name, 'TRIBUNAL') THEN 'tribunal' WHEN name = 'SAT' THEN 'sat' ELSE 'otro' END AS type FROM e"""
+    SELECT name, CASE WHEN contains(name, 'JUZGADO') THEN 'Juzgado' WHEN contains(name, 'TRIBUNAL') THEN 'Tribunal' ELSE 'Otro' END AS type FROM e"""
 )
 def ext30_40_authorities(spark, d):
     """Authorities named in texts, each once, with their kinds."""
@@ -379,6 +385,29 @@ def ext30_40_authorities(spark, d):
     return found.select(F.upper("n").alias("name")).distinct().select("name", X.authority_type(F.col("name")).alias("type"))
 
 
+#: Names of authorities for the catalogue below.
+_ENTITIES = (
+    "Fiscalía General de la República", "FISCALIA ESTATAL", "Procuraduría Fiscal", "Procuraduría de la Defensa", "Juzgado Quinto de Distrito", "Tribunal Federal", "Secretaría de Hacienda", "Dirección  de Procesos,", "Administración Desconcentrada.", "Subadministración 3",
+    "Consejo de la Judicatura Federal", "Comisión Nacional Bancaria y de Valores", "Delegación Norte", "SUBDELEGACIÓN 8", "Agencia del Ministerio Público", "Unidad de Inteligencia Financiera", "Sala Superior", "Antesala", "Pleno Regional", "Centro de Justicia , .",
+    "Coordinación Jurídica de la Ciudad de México", "Instituto Mexicano CDMX", "Órgano Interno", "organo de control", "SAT",
+)
+
+
+@query(
+    f"""WITH e AS (SELECT p_partkey, {I._sql_list(_ENTITIES)}[p_partkey % {len(_ENTITIES)} + 1] AS raw FROM part), n AS (SELECT p_partkey, lower(raw) AS l, regexp_replace(regexp_replace(trim(raw), '\\s+', ' ', 'g'), '\\s*[,.]+$', '') AS name FROM e)
+    SELECT p_partkey, name, CASE WHEN l LIKE '%fiscalía%' OR l LIKE '%fiscalia%' OR l LIKE '%fiscal general%' THEN 'Fiscalía' WHEN l LIKE '%procuraduría%' OR l LIKE '%procuraduria%' THEN 'Procuraduría' WHEN l LIKE '%juzgado%' THEN 'Juzgado' WHEN l LIKE '%tribunal%' THEN 'Tribunal'
+      WHEN l LIKE '%secretaría%' OR l LIKE '%secretaria%' THEN 'Secretaría' WHEN l LIKE '%dirección%' OR l LIKE '%direccion%' THEN 'Dirección' WHEN l LIKE '%administración%' OR l LIKE '%administracion%' THEN 'Administración' WHEN l LIKE '%consejo%' THEN 'Consejo'
+      WHEN l LIKE '%comisión%' OR l LIKE '%comision%' THEN 'Comisión' WHEN l LIKE '%delegación%' OR l LIKE '%delegacion%' THEN 'Delegación' WHEN l LIKE '%subdelegación%' OR l LIKE '%subdelegacion%' THEN 'Subdelegación' WHEN l LIKE '%agencia%' THEN 'Agencia' WHEN l LIKE '%unidad%' THEN 'Unidad'
+      WHEN l LIKE '%sala %' THEN 'Sala' WHEN l LIKE '%pleno %' THEN 'Pleno' WHEN l LIKE '%centro %' THEN 'Centro' WHEN l LIKE '%coordinación%' OR l LIKE '%coordinacion%' THEN 'Coordinación' WHEN l LIKE '%subadministración%' THEN 'Subadministración' WHEN l LIKE '%instituto%' THEN 'Instituto'
+      WHEN l LIKE '%órgano%' OR l LIKE '%organo%' THEN 'Órgano' ELSE 'Otro' END AS type, CASE WHEN l LIKE '%federal%' THEN 'Federal' WHEN l LIKE '%ciudad de méxico%' OR l LIKE '%cdmx%' THEN 'Ciudad de México' END AS jurisdiction FROM n"""
+)
+def ext40_entities(spark, d):
+    """Catalogue names tidied, with kind and jurisdiction."""
+    raw = I._pick(_ENTITIES, F.col("p_partkey") % len(_ENTITIES))
+    rows = table(spark, d, "part").select("p_partkey", raw.alias("raw"))
+    return rows.select("p_partkey", X.tidy_authority(F.col("raw")).alias("name"), X.authority_type(F.col("raw")).alias("type"), X.jurisdiction(F.col("raw")).alias("jurisdiction"))
+
+
 @query("SELECT d.doc_id, sha256(d.text) AS digest, d.n_chars AS size FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id % 2 = 0 AND sha256(p.text) = sha256(d.text))")
 def ext31_changed(spark, d):
     """Texts whose digest isn't among those seen before (here: those of even ids)."""
@@ -386,25 +415,58 @@ def ext31_changed(spark, d):
     return docs.join(docs.where("doc_id % 2 = 0").select("digest").distinct(), "digest", "left_anti").select("doc_id", "digest", "size")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::bigint AS k FROM events")
+@query("""SELECT event_id, event_type, CASE event_id % 8 WHEN 7 THEN NULL WHEN 6 THEN '"' || json_extract_string(props, '$.k') || '"' ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 8 = 7 THEN '{}' WHEN event_id % 8 = 6 THEN '{"k": "\\"' || json_extract_string(props, '$.k') || '\\""}' WHEN event_id % 8 >= 5 THEN '{"k": "' || json_extract_string(props, '$.k') || '"}' ELSE '{"k": ' || json_extract_string(props, '$.k') || '}' END AS object FROM events""")
 def ext32_json(spark, d):
-    """JSON objects repaired and read out of a model's answer."""
-    answer = F.concat(F.lit("Here it is:\n```json\n"), F.regexp_replace("props", "}", ",}"), F.lit("\n```"))
-    return table(spark, d, "events").select("event_id", F.get_json_object(X.json_object(answer), "$.k").cast("long").alias("k"))
+    """JSON read out of a model's answers: as it is, in a fence, with a trailing comma, in single quotes, without quotes, as
+    pairs (whose values are texts, quotes included), and not there at all."""
+    k = F.get_json_object("props", "$.k")
+    forms = (F.col("props"), F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```")), F.concat(F.lit("{'k': "), k, F.lit(",}")), F.concat(F.lit("so: {'k': "), k, F.lit("} done")), F.concat(F.lit("{k: "), k, F.lit("}")), F.concat(F.lit("k = "), k), F.concat(F.lit('the "k": "'), k, F.lit('" it is')))
+    answer = F.coalesce(*(F.when(F.col("event_id") % 8 == i, f) for i, f in enumerate(forms)), F.lit("nothing"))
+    rows = table(spark, d, "events").select("event_id", "event_type", json_repaired(answer).alias("object"))
+    return rows.select("event_id", "event_type", F.get_json_object("object", "$.k").alias("k"), "object")
 
 
-@query("SELECT CASE WHEN value >= 90 THEN 'excellent' WHEN value >= 75 THEN 'good' WHEN value >= 50 THEN 'fair' ELSE 'poor' END AS grade, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1")
+@query("SELECT CASE WHEN value / 100 >= 0.8 THEN 'HIGH' WHEN value / 100 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS grade, value / 100 < 0.8 AS review, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2")
 def ext36_grades(spark, d):
-    """A batch's summary by grade of confidence."""
-    return table(spark, d, "events").groupBy(X.quality_grade(F.col("value") / 100).alias("grade")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    """A batch's summary by grade of confidence, and whether a grade is to be reviewed."""
+    rows = table(spark, d, "events").select("value", X.quality_grade(F.col("value") / 100).alias("g"))
+    return rows.groupBy("g.grade", "g.review").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+_AREAS = ("ASEGURAMIENTO", "Operaciones Ilícitas", "informe  judicial", "ÁREA HACENDARIA", "desembargo")
 
 
 @query(
-    f"""WITH {I.NOTICES} SELECT case_id, CASE WHEN case_id % 10 = 0 THEN 'Block' WHEN regexp_matches(upper(text), 'DEJAR SIN EFECTOS|ELIMINA|REANUD') THEN 'Unblock' WHEN regexp_matches(upper(text), 'COPIA CERTIFICADA|DOCUMENT') THEN 'Document' WHEN contains(upper(text), 'TRANSFER') THEN 'Transfer'
-      WHEN contains(upper(text), 'BLOQ') THEN 'Block' WHEN contains(upper(text), 'DESBLO') OR contains(upper(text), 'LIBER') THEN 'Unblock' WHEN contains(upper(text), 'TRANS') OR contains(upper(text), 'TRASP') THEN 'Transfer' WHEN contains(upper(text), 'INFO') THEN 'Information' WHEN contains(upper(text), 'DOC') THEN 'Document' WHEN contains(upper(text), 'IGNOR') THEN 'Ignore' ELSE 'Information' END AS measure FROM notices"""
+    f"""WITH {I.NOTICES}, a AS (SELECT case_id, CASE WHEN case_id % 13 = 0 THEN ' ' ELSE text END AS text, {I._sql_list(_AREAS)}[case_id % 5 + 1] AS area FROM notices)
+    SELECT case_id, CASE WHEN case_id % 10 = 0 THEN 'Aseguramiento' WHEN trim(text) = '' THEN 'Informacion' WHEN regexp_matches(upper(text), 'DEJAR SIN EFECTOS|ELIMINA|REANUD') THEN 'Desbloqueo' WHEN regexp_matches(upper(text), 'COPIA CERTIFICADA|DOCUMENT') THEN 'Documentacion' WHEN contains(upper(text), 'TRANSFER') THEN 'Transferencia'
+      WHEN contains(upper(text), 'BLOQ') THEN 'Aseguramiento' WHEN contains(upper(text), 'DESBLO') OR contains(upper(text), 'LIBER') THEN 'Desbloqueo' WHEN contains(upper(text), 'TRANS') OR contains(upper(text), 'TRASP') THEN 'Transferencia' WHEN contains(upper(text), 'INFO') THEN 'Informacion' WHEN contains(upper(text), 'DOC') THEN 'Documentacion' WHEN contains(upper(text), 'IGNOR') THEN 'Ignorar' ELSE 'Otro' END AS measure,
+      ['Aseguramiento', 'OperacionesIlicitas', 'InformeJudicial', 'ÁreaHacendaria', 'Desembargo'][case_id % 5 + 1] AS subdivision FROM a"""
 )
 def ext37_measure(spark, d):
-    return I.notices(spark, d).select("case_id", X.measure_hint(F.col("case_id") % 10 == 0, F.col("text")).alias("measure"))
+    k = F.col("case_id")
+    rows = I.notices(spark, d).select("case_id", F.when(k % 13 == 0, " ").otherwise(F.col("text")).alias("text"))
+    return rows.select("case_id", X.measure_hint(k % 10 == 0, F.col("text")).alias("measure"), X.subdivision_hint(I._pick(_AREAS, k % 5)).alias("subdivision"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, ['spa', 'ENG', '', 'xyz', NULL][p_partkey % 5 + 1] AS language, ['eng', '', 'qq'][p_partkey % 3 + 1] AS fallback, ['json', 'PDF', 'docx', ''][p_partkey % 4 + 1] AS format, p_size % 6 - 1 AS oem, p_partkey % 17 - 1 AS psm, p_size / 40.0::double AS confidence,
+      p_partkey % 7 * 700 AS timeout, p_partkey % 14 - 1 AS retries, p_partkey % 11 * 35 - 1 AS delay, p_partkey % 13 * 9 AS file_size, p_partkey % 23 AS concurrency, p_partkey % 19 * 6 AS batch, p_partkey % 3 * 1025 AS memory FROM part)
+    SELECT p_partkey, concat_ws(',', CASE WHEN coalesce(language, '') = '' OR lower(language) NOT IN ('spa', 'eng') THEN 'language' END, CASE WHEN fallback = 'qq' THEN 'fallback_language' END, CASE WHEN format = 'docx' THEN 'output_format' END,
+        CASE WHEN oem NOT BETWEEN 0 AND 3 THEN 'oem' END, CASE WHEN psm NOT BETWEEN 0 AND 13 THEN 'psm' END, CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN timeout <= 0 OR timeout > 3600 THEN 'timeout_seconds' END, CASE WHEN retries < 0 THEN 'max_retries' END,
+        CASE WHEN delay < 0 THEN 'retry_delay_seconds' END, CASE WHEN file_size <= 0 THEN 'max_file_size_mb' END, CASE WHEN concurrency <= 0 THEN 'max_concurrency' END, CASE WHEN batch <= 0 THEN 'batch_size' END, CASE WHEN memory <= 0 THEN 'max_memory_mb' END) AS errors,
+      concat_ws(',', CASE WHEN confidence > 0.95 OR confidence < 0.5 THEN 'confidence' END, CASE WHEN retries > 10 THEN 'max_retries' END, CASE WHEN delay > 300 THEN 'retry_delay_seconds' END, CASE WHEN file_size > 100 THEN 'max_file_size_mb' END, CASE WHEN concurrency > 20 THEN 'max_concurrency' END,
+        CASE WHEN batch > 100 THEN 'batch_size' END, CASE WHEN memory > 2048 THEN 'max_memory_mb' END) AS warnings FROM c"""
+)
+def val15_configuration(spark, d):
+    """Configurations with what is wrong in them and what is only doubtful."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    settings = {
+        "language": F.when(k % 5 < 4, I._pick(("spa", "ENG", "", "xyz"), k % 5)), "fallback_language": I._pick(("eng", "", "qq"), k % 3), "output_format": I._pick(("json", "PDF", "docx", ""), k % 4), "oem": size % 6 - 1, "psm": k % 17 - 1, "confidence": size / 40.0,
+        "timeout_seconds": k % 7 * 700, "max_retries": k % 14 - 1, "retry_delay_seconds": k % 11 * 35 - 1, "max_file_size_mb": k % 13 * 9, "max_concurrency": k % 23, "batch_size": k % 19 * 6, "max_memory_mb": k % 3 * 1025,
+    }
+    rows = table(spark, d, "part").select("p_partkey", *(c.alias(n) for n, c in settings.items()))
+    out = templates.configuration_problems({n: F.col(n) for n in settings})
+    return rows.select("p_partkey", F.array_join(out["errors"], ",").alias("errors"), F.array_join(out["warnings"], ",").alias("warnings"))
 
 
 @query(
@@ -438,11 +500,11 @@ def sim05_best_window(spark, d):
 @query(
     r"""WITH t AS (SELECT doc_id, text, length(text)::double AS n, length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))::double AS al, length(text)::double - length(regexp_replace(text, '\s', '', 'g')) AS sp,
       list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda w: w <> '') AS ws FROM documents)
-    SELECT doc_id, round(40 * al / n + 20 * greatest(0, least(1, 1 - abs(sp / n - 0.175) / 0.175)) + 20 * greatest(0, 1 - ((n - al - sp) / n) / 0.1)
-      + 10 * (1 - least(1, abs(list_sum(list_transform(ws, lambda w: length(w)))::double / len(ws) - 5.5) / 5.5)) + 10 * len(list_filter(ws, lambda w: length(w) BETWEEN 2 AND 15))::double / len(ws), 6) AS score FROM t WHERE regexp_matches(text, '\S')"""
+    SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\S') THEN 0 ELSE round(40 * al / n + 20 * greatest(0, least(1, 1 - abs(sp / n - 0.175) / 0.175)) + 20 * greatest(0, 1 - ((n - al - sp) / n) / 0.1)
+      + 10 * (1 - least(1, abs(list_sum(list_transform(ws, lambda w: length(w)))::double / len(ws) - 5.5) / 5.5)) + 10 * len(list_filter(ws, lambda w: length(w) BETWEEN 2 AND 15))::double / len(ws), 6) END AS score FROM t"""
 )
 def sim06_quality(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", F.round(S.quality_score(F.col("text")), 6).alias("score"))
+    return table(spark, d, "documents").select("doc_id", F.round(S.quality_score(F.col("text")), 6).alias("score"))
 
 
 @query()
@@ -474,8 +536,8 @@ def sim11_sequence_match(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, round(30 * least(length(text)::double / 1000, 1) + 40 * length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::double / length(text)
-      + 30 * (contains(lower(text), 'de')::int + contains(lower(text), 'la')::int + contains(lower(text), 'el')::int + contains(lower(text), 'en')::int + contains(lower(text), 'the')::int + contains(lower(text), 'and')::int + contains(lower(text), 'of')::int + contains(lower(text), 'to')::int)::double / 8, 6) AS confidence FROM documents WHERE text <> ''"""
+    r"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE round(30 * least(length(text)::double / 1000, 1) + 40 * length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::double / length(text)
+      + 30 * (contains(lower(text), 'de')::int + contains(lower(text), 'la')::int + contains(lower(text), 'el')::int + contains(lower(text), 'en')::int + contains(lower(text), 'the')::int + contains(lower(text), 'and')::int + contains(lower(text), 'of')::int + contains(lower(text), 'to')::int)::double / 8, 6) END AS confidence FROM documents"""
 )
 def sim13_ocr_confidence(spark, d):
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.round(S.ocr_confidence(F.col("text")), 6).alias("confidence"))
+    return table(spark, d, "documents").select("doc_id", F.round(S.ocr_confidence(F.col("text")), 6).alias("confidence"))

@@ -61,6 +61,81 @@ def test_semantic(spark):
     assert [x["kind"] for x in found] == ["Block", "Transfer"]
 
 
+@pytest.mark.parametrize("text, kinds", [("Ordena el desbloqueo de cuenta", {"Unblock": 1.0, "Block": 0.92}), ("aseguramiento de los fondos", {"Block": 0.92, "Unblock": 0.87}), ("", {}), (None, {}), ("pide REPORTE DE SALDOS", {"Information": 1.0})])
+def test_semantic_scores(spark, text, kinds):
+    found = spark.createDataFrame([(text,)], "t string").select(semantic.semantic_directives(F.col("t"))).head()[0]
+    assert {x["kind"]: x["score"] for x in found} == kinds
+
+
+def test_semantic_like_brute_force(spark):
+    import random
+
+    from sparcase.functions.sequence import common_length
+
+    assert {k: len(v) for k, v in semantic.PHRASES.items()} == {"Unblock": 23, "Block": 27, "Transfer": 14, "Document": 23, "Information": 17}
+    rng = random.Random(7)
+    some = [w for phrases in semantic.PHRASES.values() for p in phrases for w in p.split()]
+
+    def bad(w):
+        i = rng.randrange(len(w))
+        return w[:i] + w[i + 1 :] if rng.random() < 0.3 and len(w) > 3 else w
+
+    texts = [" ".join(bad(rng.choice(some)) for _ in range(rng.randrange(1, 25))) for _ in range(60)]
+    scores = semantic.PhraseScores([p for phrases in semantic.PHRASES.values() for p in phrases])
+    for t in texts:
+        words, want = t.upper().split(), []
+        for kind, phrases in semantic.PHRASES.items():
+            best = (0.0, "")
+            for p in phrases:
+                up, n = p.upper(), len(p.split())
+                for size in range(max(1, n - 1), n + 3):
+                    for i in range(len(words) - size + 1):
+                        w = " ".join(words[i : i + size])
+                        score = int(200 * common_length(up, w) / (len(up) + len(w)) + 0.5) / 100 if len(up) <= len(t) else 0.0
+                        best = (score, p) if score > best[0] else best
+            if best[0] >= 0.85:
+                want.append((kind, *best))
+        assert semantic.directives_of(t, scores) == want
+
+
+@pytest.mark.parametrize(
+    "answer, value",
+    [('{"a": {"b": 1}}', '{"a": {"b": 1}}'), ('x {"a": {"b": 1}} y', '{"b": 1}'), ("```json\n[1, 2]\n```", "[1, 2]"), ("{'a': 'x',}", '{"a": "x"}'), ("{a: 1}", '{"a": 1}'), ('"a": 1', '{"a": 1}'), ('a = "x" b = 2', '{"a": "\\"x\\"", "b": "2"}'), ("no", "{}"), (None, None), ("{'note': 'it''s'}", "{}"), ("[1, {\"a\": 2}, ", '{"a": 2}')],
+)
+def test_json(spark, answer, value):
+    from sparcase.functions.jsontext import json_repaired
+
+    assert one(spark, json_repaired(F.col("t")), t=answer) == value
+
+
+def test_case_numbers(spark):
+    found = lambda t: [(float(x["score"]), x["value"]) for x in one(spark, X.scored_case_numbers(F.col("t")), t=t)]
+    assert found("Tribunal: expediente no. 12/2023") == [(0.6, "NO."), (0.6, "NO.")]
+    assert found("expediente: abc-12/2023 y exp. no. 77/23")[:2] == [(0.9, "ABC-12/2023"), (0.8, "77/23")]
+    assert found("expediente de la cuenta") == [] and found("Expediente 5 de la Corte") == []
+
+
+def test_sections(spark):
+    part = lambda t, header: one(spark, X.section(F.col("t"), ["OFICIO", "RFC"], ["PLAZO"], header), t=t)
+    assert part("x Oficio:: uno\nPlazo 3", True) == "Oficio:: uno" and part("x Oficio:: uno\nPlazo 3", False) == "uno"
+    assert part("nada", True) is None and part("oficio:", False) is None
+
+
+@pytest.mark.parametrize("name, kind", [("SUBDELEGACIÓN 8", "Delegación"), ("Subadministración 3", "Administración"), ("Fiscal General", "Fiscalía"), ("Juzgado del Tribunal", "Juzgado"), ("Antesala", "Otro"), ("Sala Superior", "Sala"), ("SAT", "Otro"), ("Órgano", "Órgano")])
+def test_authority_types(spark, name, kind):
+    assert one(spark, X.authority_type(F.col("n")), n=name) == kind
+
+
+@pytest.mark.parametrize("text, measure", [("DESBLOQUEO", "Aseguramiento"), ("liberar", "Desbloqueo"), (" ", "Informacion"), (None, "Informacion"), ("algo", "Otro"), ("REANUDAR", "Desbloqueo"), ("ignorar", "Ignorar")])
+def test_measure(spark, text, measure):
+    assert one(spark, X.measure_hint(F.lit(False), F.col("t")), t=text) == measure
+
+
+def test_names_kept(spark):
+    rows = spark.createDataFrame([("Juzgado Quinto de lo Penal",), ("JUZGADO QUINTO CON RESIDENCIA EN X",), ("Juzgado con residencia en Morelia",), ("Juzgado 5",), ("x" * 81,)], "n string")
+    assert [r[0] for r in rows.select(identity.name_quality(F.col("n"))).collect()] == [15, 3, 18, 0, -5]
+
+
 def test_action_traps(spark):
     assert one(spark, X.action_kind(F.col("t")), t="DESBLOQUEO") == "Block"
     rows = spark.createDataFrame([("DESEMBARGO", "", "", False)], "t string, a string, n string, s boolean")
@@ -124,8 +199,11 @@ def test_rule(spark, rule, value, ok):
     assert one(spark, templates.rule(F.col("v"), rule), v=value) is ok
 
 
-def test_configuration():
-    assert templates.check_configuration({"confidence": 1.5, "concurrency": 4, "retries": 11}) == ["confidence", "retries"]
+def test_configuration(spark):
+    given = {"language": F.lit("spa"), "confidence": F.lit(1.5), "max_concurrency": F.lit(64), "max_retries": F.lit(-1), "oem": F.lit(4), "psm": F.lit(13), "timeout_seconds": F.lit(3601), "batch_size": F.lit(101)}
+    out = spark.range(1).select(templates.configuration_problems(given).alias("o")).head()["o"]
+    assert out["errors"] == ["oem", "confidence", "timeout_seconds", "max_retries"] and out["warnings"] == ["confidence", "max_concurrency", "batch_size"]
+    assert spark.range(1).select(templates.configuration_problems({"language": F.lit(" ")})["errors"]).head()[0] == ["language"]
 
 
 def test_xml(spark):

@@ -21,8 +21,8 @@ def plain_upper(t):
 def test_names_and_truth_of_whole_texts(spark, tmp_path):
     rows = [(1, "en", "a  b\n" * 80 + "Último — fin – ñ"), (2, "es", "corto  año — x"), (3, None, "straße " * 60 + "ende"), (4, "de", None), (5, "en", "")]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    names = {r["doc_id"]: r["name"] for r in QUERIES["san07_name_whole"](spark, str(tmp_path)).collect()}
-    truths = {r["doc_id"]: r["text"] for r in QUERIES["san10_truth_whole"](spark, str(tmp_path)).collect()}
+    names = {r["doc_id"]: r["name"] for r in QUERIES["san07_name"](spark, str(tmp_path)).collect()}
+    truths = {r["doc_id"]: r["text"] for r in QUERIES["san10_truth"](spark, str(tmp_path)).collect()}
     bare = str.maketrans(N.ACCENTED, N.PLAIN)
     assert names == {i: t if t is None else plain_upper(t).translate(bare) for i, _, t in rows}
     assert truths == {i: t if t is None else plain_upper(t).translate(str.maketrans("–—", "--")) for i, _, t in rows}
