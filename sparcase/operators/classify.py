@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,38 +142,45 @@ def rejections(basis: Column, signature: Column, account: Column, identified: Co
     )
 
 
-def directive_confidence(text: Column, kind: str) -> Column:
-    n = hits(text, DIRECTIVES[kind])
-    return F.when(n == 0, 0).otherwise(F.least(60 + 10 * n, F.lit(100)))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value being computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def counted_directives(text: Column, kinds: tuple[str, ...] = tuple(DIRECTIVES)) -> Column:
+    """array(struct(kind, confidence)) of the kinds with a keyword in the text, in the given order."""
+    known = F.array(*(F.struct(F.lit(k).alias("kind"), F.array(*map(F.lit, DIRECTIVES[k])).alias("words")) for k in kinds))
+
+    def scored(up: Column) -> Column:
+        found = F.transform(known, lambda d: F.struct(d["kind"].alias("kind"), F.size(F.filter(d["words"], lambda w: up.contains(w))).alias("n")))
+        return F.transform(F.filter(found, lambda d: d["n"] > 0), lambda d: F.struct(d["kind"].alias("kind"), F.least(60 + 10 * d["n"], F.lit(100)).alias("confidence")))
+
+    return let(F.upper(F.coalesce(text, F.lit(""))), scored)
 
 
 def directives(text: Column) -> Column:
     """array(struct(kind, confidence)): every directive with a keyword in the text; Ignore with 50 if there is none."""
-    up = F.upper(text)
-    found = F.array_compact(F.array(*(F.when(any_of(up, words), F.struct(F.lit(kind).alias("kind"), directive_confidence(up, kind).alias("confidence"))) for kind, words in DIRECTIVES.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("Ignore").alias("kind"), F.lit(50).alias("confidence"))))
+    none = F.array(F.struct(F.lit("Ignore").alias("kind"), F.lit(50).alias("confidence")))
+    return let(counted_directives(text), lambda found: F.when(F.size(found) > 0, found).otherwise(none))
 
 
 def directive(text: Column) -> Column:
     """struct(kind, confidence): the directive that takes precedence; Unknown with 30."""
-    up = F.upper(text)
-    out = F.struct(F.lit("Unknown").alias("kind"), F.lit(30).alias("confidence"))
-    for kind in reversed(PRECEDENCE):
-        out = F.when(any_of(up, DIRECTIVES[kind]), F.struct(F.lit(kind).alias("kind"), directive_confidence(up, kind).alias("confidence"))).otherwise(out)
-    return out
+    return F.coalesce(F.get(counted_directives(text, PRECEDENCE), F.lit(0)), F.struct(F.lit("Unknown").alias("kind"), F.lit(30).alias("confidence")))
 
 
 def relation(text: Column) -> Column:
-    up = F.upper(text)
-    return F.coalesce(*(F.when(any_of(up, words), F.lit(name)) for name, words in RELATIONS), F.lit("New"))
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, words)).alias("words")) for name, words in RELATIONS))
+    found = let(F.upper(F.coalesce(text, F.lit(""))), lambda up: F.filter(known, lambda r: F.exists(r["words"], lambda w: up.contains(w))))
+    return F.coalesce(F.get(found, F.lit(0))["name"], F.lit("New"))
 
 
 def edge_warnings(text: Column, kind: Column, confidence: Column, account: Column, amount: Column) -> Column:
     """What a single directive lacks."""
-    up = F.upper(text)
+    prior = lambda up: any_of(up, ("OFICIO", "EXPEDIENTE", "ORDEN", "ANTERIOR"))
     return warnings(
-        ((kind == "Transfer") & ~up.rlike(r"\b[0-9]{18}\b"), "MissingClabe"),
-        ((kind == "Unblock") & ~any_of(up, ("OFICIO", "EXPEDIENTE", "ORDEN", "ANTERIOR")), "MissingPriorOrder"),
+        ((kind == "Transfer") & ~text.rlike(r"\b[0-9]{18}\b"), "MissingClabe"),
+        ((kind == "Unblock") & ~let(F.upper(text), prior), "MissingPriorOrder"),
         ((kind == "Block") & blank(account) & amount.isNull(), "MissingAccountOrAmount"),
         (confidence < 70, "LowConfidence"),
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.normalize import sanitize
-from ..functions.similarity import name_score, ratio
+from ..functions.normalize import normalize_name, sanitize
+from ..functions.sequence import name_likeness
+from ..functions.similarity import ratio
 from ..functions.validate import blank
 
 #: Sources, decisions and actions by number; base reliabilities, weights and thresholds.
@@ -35,50 +39,74 @@ def reliability(source: Column, confidence: Column, quality: Column, matches: Co
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + ocr + image + extraction))
 
 
-def candidates(observations: DataFrame, fields: tuple[tuple[int, str, bool], ...], strict: bool = True) -> DataFrame:
+Fields = tuple[tuple[int, str, bool], ...]
+
+
+def _rated(observations: DataFrame, fields: Fields, strict: bool) -> tuple[DataFrame, list[Column]]:
+    rate = reliability(*(F.col(c) for c in ("source", "mean_confidence", "quality_index", "regex_matches", "total_fields", "violations")))
+    value = lambda name, clean: sanitize(F.col(name)) if clean else (F.col(name) if strict else F.trim(F.col(name)))
+    return observations.withColumn("reliability", rate), [value(n, clean).cast("string") for _, n, clean in fields]
+
+
+def candidates(observations: DataFrame, fields: Fields, strict: bool = True) -> DataFrame:
     """One row per case, field and source: case_id, place, field, source, value, reliability.
 
     fields: place in the order of fusion, name, whether the value is sanitised. strict compares other values as they
     are; else they are trimmed first."""
-    rated = observations.withColumn("reliability", reliability(*(F.col(c) for c in ("source", "mean_confidence", "quality_index", "regex_matches", "total_fields", "violations"))))
-    value = lambda name, clean: sanitize(F.col(name)) if clean else (F.col(name) if strict else F.trim(F.col(name)))
-    cells = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("field"), value(n, c).cast("string").alias("value")) for p, n, c in fields))
+    rated, values = _rated(observations, fields, strict)
+    cells = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("field"), v.alias("value")) for (p, n, _), v in zip(fields, values)))
     return rated.select("case_id", "source", "reliability", F.explode(cells).alias("f")).select("case_id", "f.place", "f.field", "source", "f.value", "reliability")
 
 
+def fuse_observations(observations: DataFrame, fields: Fields, strict: bool = True, fuzzy: bool = True, digits: int | None = None) -> DataFrame:
+    """As fuse_fields of the candidates. A case's observations, one a source, are brought together before they are dealt
+    by field, so there is one shuffle, of the observations, and what follows by case needs none. digits rounds the
+    reliabilities."""
+    rated, values = _rated(observations, fields, strict)
+    rate = F.col("reliability") if digits is None else F.round("reliability", digits)
+    cases = rated.groupBy("case_id").agg(F.collect_list(F.struct("source", rate.alias("reliability"), F.array(*values).alias("cells"))).alias("o"))
+    named = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("field"), F.lit(i).alias("i")) for i, (p, n, _) in enumerate(fields)))
+    dealt = cases.select("case_id", "o", F.explode(named).alias("f"))
+    cells = F.transform("o", lambda x: F.struct(x["source"].alias("source"), F.get(x["cells"], F.col("f.i")).alias("value"), x["reliability"].alias("reliability")))
+    return _decided(dealt.select("case_id", "f.place", "f.field", F.array_sort(F.filter(cells, lambda x: ~blank(x["value"]))).alias("v")), fuzzy)
+
+
 def fuse_fields(cands: DataFrame, fuzzy: bool = True) -> DataFrame:
     """case_id, place, field, value, confidence, decision, source, similarity, n_conflicts, review, suggest.
 
     One value: agreed, with the best source's reliability. Similar texts (names of authorities and applicants): the most
     reliable one, its confidence reduced. Else the most reliable value wins, outvoting or in conflict with the others."""
-    item = F.struct("source", "value", "reliability")
-    groups = cands.where(~blank(F.col("value"))).groupBy("case_id", "place", "field").agg(F.array_sort(F.collect_list(item)).alias("v"))
-    every = cands.select("case_id", "place", "field").distinct()
-    v = F.col("v")
-    distinct = F.size(F.array_distinct(F.transform(v, lambda x: F.lower(x["value"]))))
+    item = F.when(~blank(F.col("value")), F.struct("source", "value", "reliability"))
+    return _decided(cands.groupBy("case_id", "place", "field").agg(F.array_sort(F.collect_list(item)).alias("v")), fuzzy)
+
+
+def _decided(groups: DataFrame, fuzzy: bool) -> DataFrame:
+    """Decisions on groups (case_id, place, field, v), v being the values that aren't blank, by source."""
+    v, w, k = F.col("v"), F.col("w"), F.col("k")
     best = F.array_max(F.transform(v, lambda x: x["reliability"]))
-    winner = F.get(F.filter(v, lambda x: x["reliability"] == best), F.lit(0))
-    losers = F.size(F.filter(v, lambda x: F.lower(x["value"]) != F.lower(F.col("w.value"))))
-    first = F.get(v, F.lit(0))
+    rows = groups.withColumn("best", best).withColumn("k", F.size(F.array_distinct(F.transform(v, lambda x: F.lower(x["value"])))))
+    rows = rows.withColumn("w", F.get(F.filter(v, lambda x: x["reliability"] == F.col("best")), F.lit(0)))
+    losers = F.when(k > 1, F.size(F.filter(v, lambda x: F.lower(x["value"]) != F.lower(w["value"])))).otherwise(0)
     pairs = F.array(*(F.when(F.size(v) > j, ratio(F.get(v, F.lit(i))["value"], F.get(v, F.lit(j))["value"]) / 100.0) for i, j in ((0, 1), (0, 2), (1, 2))))
     similar = F.get(F.filter(pairs, lambda s: s >= FUZZY_THRESHOLD), F.lit(0))
-    close = F.when(F.lit(fuzzy) & F.col("field").isin(*TEXT_FIELDS) & (F.col("k") > 1), similar)
-    done = groups.withColumn("best", best).withColumn("w", winner).withColumn("k", distinct).withColumn("losers", losers).withColumn("close", close)
-    decision = F.when(F.col("k") == 1, ALL_AGREE).when(F.col("close").isNotNull(), FUZZY).when(F.col("losers") >= F.size(v) - 1, CONFLICT).otherwise(VOTING)
-    out = done.select(
+    close = F.when(F.lit(fuzzy) & F.col("field").isin(*TEXT_FIELDS) & (k > 1), similar)
+    rows = rows.withColumn("losers", losers).withColumn("close", close)
+    decision = F.when(k == 0, ALL_NULL).when(k == 1, ALL_AGREE).when(F.col("close").isNotNull(), FUZZY).when(F.col("losers") >= F.size(v) - 1, CONFLICT).otherwise(VOTING)
+    rows = rows.withColumn("decision", decision)
+    d = F.col("decision")
+    return rows.select(
         "case_id",
         "place",
         "field",
-        F.when(F.col("k") == 1, first["value"]).otherwise(F.col("w.value")).alias("value"),
-        F.when(F.col("close").isNotNull(), F.col("best") * F.col("close")).otherwise(F.col("best")).alias("confidence"),
-        decision.alias("decision"),
-        F.when(F.col("k") > 1, F.col("w.source")).alias("source"),
+        F.when(k == 1, F.get(v, F.lit(0))["value"]).otherwise(w["value"]).alias("value"),
+        F.coalesce(F.col("best") * F.coalesce("close", F.lit(1.0)), F.lit(0.0)).alias("confidence"),
+        d.alias("decision"),
+        F.when(k > 1, w["source"]).alias("source"),
         F.col("close").alias("similarity"),
-        F.when(decision.isin(CONFLICT, VOTING), F.col("losers")).otherwise(0).alias("n_conflicts"),
+        F.when(d.isin(CONFLICT, VOTING), F.col("losers")).otherwise(0).alias("n_conflicts"),
+        (d == CONFLICT).alias("review"),
+        d.isin(FUZZY, VOTING, CONFLICT).alias("suggest"),
     )
-    out = every.join(out, ["case_id", "place", "field"], "left")
-    decision = F.coalesce("decision", F.lit(ALL_NULL))
-    return out.select("case_id", "place", "field", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), decision.alias("decision"), "source", "similarity", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), (decision == CONFLICT).alias("review"), decision.isin(FUZZY, VOTING, CONFLICT).alias("suggest"))
 
 
 def fuse_cases(fused: DataFrame) -> DataFrame:
@@ -133,17 +161,40 @@ def agreement(values: DataFrame, keys: tuple[str, ...] = ("case_id",), threshold
     return out.select(*keys, "agreement", ((F.col("total") > 1) & (F.col("agreement") <= threshold)).alias("conflict"))
 
 
+@pandas_udf(StructType([StructField("place", IntegerType()), StructField("agreement", DoubleType())]))
+def central_name(names: pd.Series) -> pd.DataFrame:
+    """Of an array of names the index of the one most like all others, the first of equals, and the score of the least alike
+    pair. Each pair is compared once; a name is like itself."""
+    known: dict[tuple[str, str], float] = {}
+
+    def score(a: str, b: str) -> float:
+        if (a, b) not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[a, b] = known[b, a] = name_likeness(a, b)
+        return known[a, b]
+
+    out = []
+    for some in names:
+        n, least, affinity = len(some), 1.0, [1.0] * len(some)
+        for i in range(n):
+            for j in range(i):
+                s = score(some[i], some[j])
+                least = min(least, s)
+                affinity[i], affinity[j] = affinity[i] + s, affinity[j] + s
+        out.append((max(range(n), key=lambda i: (affinity[i], -i)), least))
+    return pd.DataFrame(out, columns=["place", "agreement"])
+
+
 def best_names(values: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """keys, value, agreement (of the least alike pair), conflict, review: the name that is most like all others."""
     alias = F.upper(F.trim("value"))
     for a, b in ALIASES:
         alias = F.regexp_replace(alias, rf"\b{b}\b", a)
-    some = values.where(~blank(F.col("value"))).withColumn("shown", F.col("value")).withColumn("value", alias)
-    names = some.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "shown"))), lambda x: F.struct(x["value"].alias("value"), x["shown"].alias("shown"))).alias("names"))
-    each = F.transform("names", lambda a, i: F.struct(F.aggregate(F.transform("names", lambda b: name_score(a["value"], b["value"])), F.lit(0.0), lambda s, x: s + x).alias("affinity"), (-i).alias("earlier"), a["shown"].alias("value")))
-    least = F.array_min(F.flatten(F.transform("names", lambda a: F.transform("names", lambda b: name_score(a["value"], b["value"])))))
-    out = names.withColumn("best", F.array_max(each)).withColumn("agreement", least)
-    return out.select(*keys, F.col("best.value").alias("value"), "agreement", (F.col("agreement") < NAME_CONFLICT).alias("conflict"), (F.col("agreement") < NAME_ACCEPT).alias("review"))
+    some = values.where(~blank(F.col("value"))).withColumn("shown", F.col("value")).withColumn("value", normalize_name(alias))
+    names = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "value", "shown"))).alias("names"))
+    out = names.withColumn("best", central_name(F.transform("names", lambda x: x["value"])))
+    return out.select(*keys, F.get("names", F.col("best.place"))["shown"].alias("value"), F.col("best.agreement").alias("agreement"), (F.col("best.agreement") < NAME_CONFLICT).alias("conflict"), (F.col("best.agreement") < NAME_ACCEPT).alias("review"))
 
 
 def match_fields(values: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import deadlines
 from ..streaming import events as E
+from ..workers import shared_folder
 from .registry import query, table
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder in the shared checkpoint folder that the cluster names; a local one only where none is set."""
-    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparcase-streams-")
-    return f"{known}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
