@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,28 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import shared_folder, ship
+
 #: Text handed to Python code at once; bounds a worker's memory whatever the row count of an Arrow batch.
 BLOCK_CHARS = 4_000_000
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder, through Spark's own reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_see_package(spark: SparkSession) -> None:
-    """Puts this package's folder on the Python path of the workers, if it isn't there yet."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, with the package importable on the workers."""
-    workers_see_package(df.sparkSession)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
@@ -67,23 +57,12 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_CHARS
     yield batch.slice(begin)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where none is set (local tests)."""
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="sparcase-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(known)
-    return known
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once, writes it to the shared checkpoint folder and reads it from there.
 
-    Lost executors cost nothing: the files are in the shared folder. Spark removes them when the frame is no
-    longer used (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-    checkpoint_dir(df.sparkSession)
+    Lost executors cost nothing: the files are in the shared folder. They stay there, unless the session was started with
+    spark.cleaner.referenceTracking.cleanCheckpoints, which removes those of frames no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -99,9 +99,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [shingles(t)[0] for t in part.column("text").to_pylist()]
             texts += sum(len(f) > 0 for f in found)
             if found:
-                owner = np.repeat(np.arange(len(found), dtype=np.uint64), [len(f) for f in found])
-                flat = np.unique(owner << np.uint64(32) | np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS))  # once a document
-                table += np.bincount((flat & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(table)).astype(np.uint32)
+                flat = (np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+                new = np.r_[True, flat[1:] != flat[:-1]]  # a document's hashes ascend, so its equal entries are neighbours
+                new[np.cumsum([0, *map(len, found[:-1])])[[len(f) > 0 for f in found]]] = True
+                table += np.bincount(flat[new[: len(flat)]], minlength=len(table)).astype(np.uint32)
     yield from _shown({-1: np.array([texts], np.int64)} | {b: table[b : b + FREQUENCY_BLOCK].astype(np.int64) for b in range(0, len(table), FREQUENCY_BLOCK) if table[b : b + FREQUENCY_BLOCK].any()})
 
 

@@ -33,6 +33,41 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(texts)
 
 
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, node string, kept boolean, _text string, comp string, score double"
+
+
+def awkward(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and near copies, with columns whose names the stages use."""
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [None, None, "", "a", "a", words, words + " end", words, "token = abcdefgh1234", "x " * 100_000, "y" * 60_000, None]
+    rows = [(i if i < 11 else None, t, None if i % 3 else "en", "s", len(t or ""), "n", True, "t", "c", 0.1) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], rows[5]], AWKWARD)
+
+
+def test_awkward_stages(spark):
+    rows = awkward(spark)
+    columns = list(corpus_pipeline.COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in df.collect())
+    good = stages["quality"](spark, rows, SF)
+    assert good.columns == columns and set(ids(good)) <= {-1, *range(11)}
+    exact = stages["exact_duplicates"](spark, rows, SF)
+    assert exact.columns == columns and ids(exact) == [2, 4, 6, 7, 8, 9, 10]
+    near = stages["near_duplicates"](spark, rows, SF)
+    assert near.columns == columns and ids(near) == [0, 3, 5, 8, 9, 10]
+    clean = stages["secrets"](spark, rows, SF)
+    assert clean.columns == columns and clean.count() == rows.count() and clean.where("doc_id = 8").head()["text"] == "[SECRET]"
+    assert clean.where("text is null").count() == 3 and clean.where("text is not null and n_chars <> length(text)").count() == 0
+    pieces = stages["packed"](spark, rows, SF)
+    assert set(ids(pieces)) == {-1, *range(11)} and pieces.groupBy("doc_id").sum("length").where("doc_id = 2").head()[1] == 1
+
+
+def test_empty_stages(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame([], AWKWARD), SF)
+        assert out.count() == 0 and (name == "packed" or out.columns == list(corpus_pipeline.COLUMNS)), name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
