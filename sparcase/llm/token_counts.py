@@ -16,21 +16,18 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def count_block(texts: list[str], path: str) -> np.ndarray:
-    """Tokens of each text. The ids of a document are never made, but where a text has characters beyond the plain
-    ones; there the library encodes it whole."""
+    """Tokens of each text. The ids of a document are never made."""
     known = wordpieces.word_pieces(path)
     split = [known.split(t) for t in texts]
-    out = np.array([0 if words is not None else len(known.encode(t)) // 4 for t, words in zip(texts, split)], dtype=np.int64)
     code: dict[str, int] = {}
-    flat = np.fromiter((code.setdefault(w, len(code)) for words in split if words for w in words), dtype=np.int64)
+    flat = np.fromiter((code.setdefault(w, len(code)) for words in split for w in words), dtype=np.int64)
     if not len(flat):
-        return out
+        return np.zeros(len(texts), dtype=np.int64)
     known.learn(set(code))
     pieces = np.fromiter((len(known.pieces[w]) // 4 for w in code), dtype=np.int64, count=len(code))
-    owner = np.repeat(np.arange(len(texts)), [len(words or ()) for words in split])
+    owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
     pair, freq = np.unique(owner * len(code) + flat, return_counts=True)  # (document, pre-token), frequency
-    out += np.bincount(pair // len(code), weights=pieces[pair % len(code)] * freq, minlength=len(texts)).astype(np.int64)
-    return out
+    return np.bincount(pair // len(code), weights=pieces[pair % len(code)] * freq, minlength=len(texts)).astype(np.int64)
 
 
 def _run(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,14 @@ import numpy as np
 
 from . import common
 
-#: Texts of these characters normalise and pre-split by plain rules; all others go through the library whole.
+#: Texts of these characters normalise and pre-split by plain rules; all others by the library's own.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary's own pre-split pattern, on lower-cased plain texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Distinct pre-tokens that a worker keeps; then it starts anew. Bounds memory, changes no result.
 KEEP = 250_000
+#: First characters of keys that stand for special strings, and for pre-tokens that the library made.
+SPECIAL, OTHER = "\x01", "\x02"
 
 
 def default_path() -> str:
@@ -36,13 +38,22 @@ class WordPieces:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pieces: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str] | None:
-        """The pre-tokens of a plain text; None if the library must see the text itself."""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return None
-        return WORDS.findall(text.lower())
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, as keys of pieces: of a plain text the words themselves; of any other what the library's
+        own normaliser and pre-tokenizer make of the text between special strings, and those."""
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        out: list[str] = []
+        for part in self.special.split(text) if self.added else [text]:
+            if part in self.added:
+                out.append(SPECIAL + part)
+            elif part:
+                out += [OTHER + piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        return out
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,6 +64,10 @@ class WordPieces:
         if new and len(self.pieces) + len(new) > KEEP:
             self.pieces.clear()
             new = list(words)
+        for w in [w for w in new if w[0] in SPECIAL + OTHER]:
+            ids = [self.added[w[1:]]] if w[0] == SPECIAL else [t.id for t in self.library.model.tokenize(w[1:])]
+            self.pieces[w] = np.array(ids, "<u4").tobytes()
+        new = [w for w in new if w[0] not in SPECIAL + OTHER]
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -77,6 +92,6 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """For each text, its ids as little-endian unsigned 32-bit integers, as the library gives them."""
     known = word_pieces(path)
     split = [known.split(t) for t in texts]
-    known.learn({w for words in split if words for w in words})
+    known.learn({w for words in split for w in words})
     get = known.pieces.__getitem__
-    return [known.encode(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+    return [b"".join(map(get, words)) for words in split]

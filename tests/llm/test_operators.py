@@ -281,6 +281,18 @@ def test_token_counts(spark, texts, word_library):
         assert r["n_tokens"] == len(word_library.encode(ODD[r["doc_id"]] or "", add_special_tokens=False).ids)
 
 
+def test_any_text_by_pre_tokens(word_library, monkeypatch):
+    """Texts of any script are counted and encoded by pre-tokens: the library never sees one whole."""
+    rng = random.Random(5)
+    bits = ["a", "Word", "’s", "“x”", "—", "é", "e\u0301", "ﬁ", "İ", "ß", "漢字", "क्षि", "😀", "٣", "½", " ", "\u00a0", "\u2003", "\n", "'ll", "12", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\x85", "\x1c", "\ufeff", "Ω"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(500)]
+    want = [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+    known = wordpieces.word_pieces(wordpieces.default_path())
+    monkeypatch.setattr(known, "encode", lambda text: pytest.fail("whole text"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in wordpieces.encode_texts(texts, wordpieces.default_path())] == want
+    assert token_counts.count_block(texts, wordpieces.default_path()).tolist() == list(map(len, want))
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
