@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +54,45 @@ CONTEXT = {
 }
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|order|invoice|serial|part|model|ref|section|chapter|figure|table|page)\b[^.]{0,12}$"
 BEFORE = 40
+#: The weight of the classifier's prior rows, all of the candidates weighing 1.
+PRIOR = 0.05
 
 SPAN = "struct<start: int, end: int, value: string>"
 
 
+#: Matches whose places are summed up together.
+RUN = 512
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The leftmost non-overlapping matches: start, end (code points) and value. Places are summed up from the lengths
-    of the matches and of what lies between them."""
+    of the matches and of what lies between them, in runs of RUN matches, so that the time grows with their number."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("size")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    spans = f"array<{SPAN}>"
 
     def add(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
         one = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["m"].alias("value")).cast(SPAN)
         return F.struct((start + x["size"]).alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, empty, add, lambda done: done["out"])
+    def placed(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), F.expr(f"cast(array() as {spans})").alias("out")), add, lambda done: done["out"])
+
+    def in_runs(all_: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda k: F.slice(all_, k * RUN + 1, RUN))
+
+        def later(done: Column, run: Column) -> Column:
+            size = F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+            return F.struct((done["at"] + size).alias("at"), F.concat(done["out"], F.array(F.struct(done["at"].alias("at"), run.alias("run")))).alias("out"))
+
+        none = F.filter(F.transform(runs, lambda run: F.struct(F.lit(0).alias("at"), run.alias("run"))), lambda x: F.lit(False))
+        starts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("out")), later, lambda done: done["out"])
+        return F.flatten(F.transform(starts, lambda x: placed(x["run"], x["at"])))
+
+    many = lambda all_: F.when(F.size(all_) <= RUN, placed(all_, F.lit(0))).otherwise(in_runs(all_))
+    return F.element_at(F.transform(F.array(pairs), many), 1)
 
 
 def digits(value: Column) -> Column:
@@ -160,12 +182,13 @@ class Model:
         return 1 / (1 + F.exp(-logit))
 
 
-def estimate(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 50, steps: int = 400) -> Model:
+def estimate(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 50, steps: int = 2000) -> Model:
     """EM over counts of (kind, votes), then a logistic classifier fitted to the probabilities.
 
     A labeler's reliability is the probability that a vote of its, for or against, is right; not to vote says nothing. A
     priori it is 0.9, and a weak kind is personal data once in four. These priors weigh as much as ten spans, so labels
-    come out sensibly from few candidates, and from none at all."""
+    come out sensibly from few candidates, and from none at all; a kind's own prior weighs as much as its spans, as
+    labelers that never vote on the same span would else let its share drift to one or nought."""
     prior = {k: 0.9 if k < len(BASE) else 0.25 for k in range(len(KINDS))}
     strength, expected = 10.0, 0.9
     right = dict.fromkeys(range(len(LABELERS)), expected)
@@ -179,31 +202,27 @@ def estimate(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 50, st
         post = [(k, vote, n, posterior(k, vote)) for k, vote, n in table]
         for k in share:
             own = [(n, p) for kind, _, n, p in post if kind == k]
-            share[k] = (sum(n * p for n, p in own) + strength * prior[k]) / (sum(n for n, _ in own) + strength)
+            size = sum(n for n, _ in own)
+            share[k] = (sum(n * p for n, p in own) + (size + strength) * prior[k]) / (2 * size + strength)
         for j in right:
             voted = [(n, p if vote[j] > 0 else 1 - p) for _, vote, n, p in post if vote[j]]
             right[j] = min(0.99, max(0.55, (sum(n * p for n, p in voted) + strength * expected) / (sum(n for n, _ in voted) + strength)))
-    # the classifier: kinds with a weak candidate, and votes, as features; plain gradient steps on the expected loss
-    rows = [(k, vote, 1.0, posterior(k, vote)) for k in range(len(KINDS)) for vote in ((0, 0, 0, 0), (0, 1, 1, 0), (0, 0, 1, 0), (0, 1, 0, 0), (0, 0, 0, -1), (1, 1, 1, 0), (-1, 0, 0, 0), (0, 1, 1, -1))]
-    total = sum(n for *_, n in table) or 1
-    rows += [(k, vote, 32.0 * n / total, posterior(k, vote)) for k, vote, n in table]
-    bias, kinds, weights = 0.0, dict.fromkeys(range(len(KINDS)), 0.0), {(j, v): 0.0 for j in range(len(LABELERS)) for v in (-1, 1)}
-    scale = sum(w for _, _, w, _ in rows)
+    # the classifier: kinds and votes as features, trained on the counts; plain gradient steps on the expected loss. Rows of
+    # the model's own, of a weight of PRIOR in all against 1, decide only what no candidate says anything about
+    own_votes = ((0, 0, 0, 0), (0, 1, 1, 0), (0, 0, 1, 0), (0, 1, 0, 0), (0, 0, 0, -1), (1, 1, 1, 0), (-1, 0, 0, 0), (0, 1, 1, -1))
+    rows = [(k, vote, PRIOR / len(KINDS) / len(own_votes), posterior(k, vote)) for k in range(len(KINDS)) for vote in own_votes]
+    total = {k: sum(n for kind, _, n in table if kind == k) for k in range(len(KINDS))}
+    there = sum(n > 0 for n in total.values())
+    rows += [(k, vote, n / total[k] / there, posterior(k, vote)) for k, vote, n in table]  # a rare kind counts as much as a frequent one
+    places = [(j, v) for j in range(len(LABELERS)) for v in (-1, 1)]
+    x = np.array([[1.0, *(float(k == kind) for kind in range(len(KINDS))), *(float(vote[j] == v) for j, v in places)] for k, vote, _, _ in rows])
+    weight, wanted = np.array([w for _, _, w, _ in rows]), np.array([p for *_, p in rows])
+    w = np.zeros(x.shape[1])
+    decay = np.r_[0.0, np.full(x.shape[1] - 1, 1e-4)]
     for _ in range(steps):
-        grad_b, grad_k, grad_w = 0.0, dict.fromkeys(kinds, 0.0), dict.fromkeys(weights, 0.0)
-        for k, vote, w, p in rows:
-            z = bias + kinds[k] + sum(weights[j, v] for j, v in enumerate(vote) if v)
-            g = w * (1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) - p)
-            grad_b += g
-            grad_k[k] += g
-            for j, v in enumerate(vote):
-                if v:
-                    grad_w[j, v] += g
-        bias -= 2.0 * grad_b / scale
-        for k in kinds:
-            kinds[k] -= 2.0 * (grad_k[k] / scale + 1e-4 * kinds[k])
-        for x in weights:
-            weights[x] -= 2.0 * (grad_w[x] / scale + 1e-4 * weights[x])
+        off = weight * (1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - wanted)
+        w -= 2.0 * (off @ x / weight.sum() + decay * w)
+    bias, kinds, weights = float(w[0]), dict(enumerate(w[1 : 1 + len(KINDS)].tolist())), dict(zip(places, w[1 + len(KINDS) :].tolist()))
     return Model(bias, kinds, weights, right)
 
 
