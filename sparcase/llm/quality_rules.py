@@ -20,11 +20,14 @@ WINDOW = 8
 #: Odd 64-bit multipliers, one for each place of a window.
 MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(1, WINDOW + 1)], dtype=np.uint64)
 TERMINAL = ".!?…:;\"'”’»)。！？"
-BOILERPLATE = re.compile(
-    r"cookie(?:s| policy| settings)|privacy policy|terms (?:of use|of service|and conditions)|all rights reserved|copyright \d|enable javascript|lorem ipsum"
-    r"|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe|newsletter|share (?:this|on)|skip to (?:main )?content|back to top",
-    re.IGNORECASE,
-)
+#: Set phrases of the languages of the corpus; each is a pattern of its own.
+PHRASES = {
+    "en": r"cookie(?:s| policy| settings)|privacy policy|terms (?:of use|of service|and conditions)|all rights reserved|copyright \d|enable javascript|lorem ipsum|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe|newsletter|share (?:this|on)|skip to (?:main )?content|back to top",
+    "fr": r"politique de confidentialité|conditions (?:générales|d['’]utilisation)|mentions légales|tous droits réservés|cliquez ici|lire la suite|en savoir plus|se connecter|s['’]inscrire|abonnez-vous|partager (?:sur|cet)|aller au contenu|haut de page|activer javascript",
+    "de": r"datenschutz(?:erklärung|richtlinie)|nutzungsbedingungen|allgemeine geschäftsbedingungen|impressum|alle rechte vorbehalten|hier klicken|weiterlesen|mehr erfahren|(?:hier|jetzt) (?:anmelden|registrieren|abonnieren)|teilen auf|zum inhalt springen|nach oben|javascript aktivieren",
+    "es": r"política de (?:privacidad|cookies)|condiciones (?:de uso|generales)|términos y condiciones|aviso legal|todos los derechos reservados|haga clic aquí|haz clic|leer más|seguir leyendo|iniciar sesión|regístrate|suscríbe(?:te|se)|compartir en|saltar al contenido|volver arriba|habilitar javascript",
+}
+BOILERPLATE = re.compile("|".join(rf"\b(?:{p})" for p in PHRASES.values()), re.IGNORECASE)
 
 
 @dataclass(frozen=True)
