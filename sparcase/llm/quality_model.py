@@ -233,7 +233,7 @@ def _pool(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in common.blocks(batch, limit=1_000_000):
             x = pooled(part.column("text").to_pylist(), vectors.value, words)
-            yield pa.record_batch([part.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "vector"])
+            yield pa.record_batch([part.column("doc_id"), part.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "vector"])
 
 
 def held_out(doc_id) -> F.Column:
@@ -249,8 +249,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: in
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows rows of 12 bytes
-    chosen = rows.join(F.broadcast(sample), "doc_id").select("quality", "text")
-    data = common.map_batches(chosen, partial(_pool, vectors=vectors), "quality int, vector binary").toPandas()
+    chosen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    data = common.map_batches(chosen, partial(_pool, vectors=vectors), "doc_id long, quality int, vector binary")
+    data = data.groupBy("doc_id", "quality").agg(F.min("vector").alias("vector")).toPandas()  # a row an id, so at most fit_rows
     data = data.sort_values(["quality", "vector"], kind="stable")
     x = np.frombuffer(b"".join(data["vector"]), dtype=np.float32).reshape(-1, 2 * SIZE + 1)
     return vectors, fit(x, data["quality"].to_numpy())
