@@ -372,6 +372,39 @@ def test_quality_rules(texts):
     assert quality_rules.line_fails("A plain sentence about nothing.", "A plain sentence about nothing.".split()) is None
 
 
+LINES = [
+    ("Home | News | Contact", False), ("Read more", False), ("Cliquez ici pour lire la suite de cet article.", False), ("Alle Rechte vorbehalten, 2024 Verlag.", False), ("Todos los derechos reservados por la empresa.", False), ("Datenschutzerklärung und Impressum.", False),
+    ("Buy now!! Hurry!! Today!!", False), ("# * $ % & |", False), ("so so so so so so it went on.", False), ("one two three", False),
+    ("The house by the sea was sold last year to a painter.", True), ("La maison au bord de la mer a été vendue.", True), ("Das Haus am Meer wurde im letzten Jahr verkauft.", True), ("La casa junto al mar se vendió el año pasado.", True), ("We met.", True),
+    ("a line of more than three words without a closing mark", True), ("very very very very good", True), ("It cost 5% more.", True), ("", True), (" \t ", True),
+]
+
+
+def slow_verdict(text):
+    """kept, lines, lines removed, characters lost and the text left, each line judged by the table above."""
+    verdict = dict(LINES)
+    lines = text.split("\n")
+    own = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
+    gone = [x for x in own if not verdict[x]]
+    size = lambda xs: sum(len(w) for x in xs for w in re.split("[\x20\x09-\x0d]+", x))
+    failed = slow_rules(text)[5]
+    return not failed and 2 * size(gone) <= size(own), len(own), len(gone), size(gone), "\n".join(x for x in lines if verdict[x])
+
+
+def test_quality_rules_of_whole_query(spark):
+    rng = random.Random(13)
+    texts = ["\n".join(rng.choice(LINES)[0] for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(rows).collect()}
+    kept = 0
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == slow_rules(t)
+        assert (r["kept"], r["n_lines"], r["n_removed_lines"], r["removed_chars"], r["clean_text"]) == slow_verdict(t), t
+        kept += r["kept"]
+    assert 20 < kept < 280
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a = "</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">Cookies!</div>
 <article><header><h1>Head&nbsp;line</h1></header><p>One &amp; two<br>three <b>bold<p>Next   para&#233;</p><aside>side</aside><div class="ad">Buy</div><form>f</form><!-- <p>no</p> --><ul><li>item</ul><section id="comments"><p>nice</p></section></article><footer>foot</footer></body>"""
 
@@ -452,6 +485,26 @@ def test_pii(spark, texts):
         assert set(want.split(",")) <= set(r["spans"].split(","))
 
 
+def test_classifier_follows_the_data():
+    """Labelers that the data contradict lose their say, ones that agree keep it; few candidates leave the priors."""
+    weak, strong = pii.KINDS.index("name"), pii.KINDS.index("email")
+    said = {v: n for v, n in (((0, 1, 1, 0), 4000), ((0, 0, 0, -1), 4000), ((0, 0, 0, 0), 2000))}
+    model = pii.estimate([(weak, v, n) for v, n in said.items()] + [(strong, (1, 1, 1, 0), 50)])
+    score = lambda m, k, vote: 1 / (1 + np.exp(-(m.bias + m.kinds[k] + sum(m.weights[j, v] for j, v in enumerate(vote) if v))))
+    assert score(model, weak, (0, 1, 1, 0)) > 0.9 and score(model, weak, (0, 0, 0, -1)) < 0.1 and score(model, strong, (1, 1, 1, 0)) > 0.9
+    none = pii.estimate([])
+    assert score(none, weak, (0, 1, 1, 0)) > 0.8 and score(none, weak, (0, 0, 0, 0)) < 0.5
+
+
+def test_many_matches(spark):
+    """Places are right beyond a run of matches, and a hundred thousand of them are no matter of minutes."""
+    text = " ".join(f"u{i}@x{i % 7}.com" + "é" * (i % 3) for i in range(100_000))
+    rows = spark.createDataFrame([(1, text), (2, " ".join(["a@b.co"] * 513)), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["m"] for r in rows.select("doc_id", pii.matches(rows["text"], pii.EMAIL).alias("m")).collect()}
+    for i, t in ((1, text), (2, " ".join(["a@b.co"] * 513)), (3, "")):
+        assert [(x["start"], x["end"], x["value"]) for x in got[i]] == [(*m.span(), m[0]) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+
+
 def test_pii_is_native(spark):
     plan = pii.candidates(docs(spark).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
