@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores under 0.7. Labels come from the labels table.
 
     Null texts are scored as empty ones, null ids have no label; every repeated row is judged alike. Without any usable
-    label all scores are 0.5, so nothing stays. An empty table gives an empty one; columns beyond those of `documents`
+    label all scores are equal, 0.5 without labels. An empty table gives an empty one; columns beyond those of `documents`
     are left behind."""
     return quality_model.accepted(_documents(docs), common.read_table(spark, sf_dir, "labels"))
 
