@@ -24,6 +24,71 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
+def put(spark: SparkSession, folder: str, contents: dict[str, bytes]) -> None:
+    """Writes small files below a folder of any store that Spark knows. For fixtures and manifests, not for data."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name, content in contents.items():
+        path = hadoop.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+
+
+#: The files of a case that a portal offers; images that can be loaded; file formats by name.
+CASE_FILES = "*.{pdf,xml,docx}"
+IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "pdf")
+FORMATS = ("Pdf", "Xml", "Docx", "Zip", "Other")
+
+
+def discover(spark: SparkSession, folder: str) -> DataFrame:
+    """key, n and formats of the cases below a folder: its PDF, XML and word-processor files by their folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", CASE_FILES).load(folder).select("path")
+    ending = F.regexp_extract("path", r"\.([a-z]+)$", 1)
+    return found.groupBy(case_key(F.col("path")).alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(ending)).alias("formats"))
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size and content of all files below a folder whose ending, in any case, is one of IMAGES."""
+    return files(spark, folder).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES)).select("path", "size", "content")
+
+
+def xml_fields(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """rows with the fields read out of a case record as they stand: identifiers, area, measure, accounts, people."""
+    from ..functions import extract as X
+
+    record = rows.withColumn("_r", F.from_xml(F.col(xml), SCHEMA + ", AutoridadEspecificaNombre string", {"ignoreNamespace": "true"}))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    of = lambda n: text(F.col(f"_r.Cnbv_{n}"))
+    asked = F.get("_r.SolicitudEspecifica", F.lit(0))
+    people = F.coalesce(asked["PersonasSolicitud"], F.expr("cast(array() as array<struct<" + ASKED + ">>)"))
+    orders = text(asked["InstruccionesCuentasPorConocer"])
+    first = F.get(people, F.lit(0))
+    rfcs = F.filter(F.concat(F.transform(F.coalesce(F.col("_r.SolicitudPartes"), F.expr("cast(array() as array<struct<" + PERSON + ">>)")), lambda p: text(p["Rfc"])), F.transform(people, lambda p: text(p["Rfc"]))), lambda r: r.isNotNull())
+    once = F.filter(rfcs, lambda r, i: F.lower(r) != F.coalesce(F.get(F.filter(F.transform(F.slice(rfcs, F.lit(1), F.greatest(i, F.lit(1))), F.lower), lambda x: (x == F.lower(r)) & (i > 0)), F.lit(0)), F.lit("")))
+    curps = F.filter(F.transform(people, lambda p: F.coalesce(X.first(p["Complementarios"], X.CURP_STRICT), X.first(p["Complementarios"], CURP_LOOSE, 1))), lambda c: c.isNotNull())
+    seized = F.lower(text(F.col("_r.TieneAseguramiento"))) == "true"
+    return record.select(
+        *rows.columns,
+        of("NumeroExpediente").alias("case_number"),
+        of("NumeroOficio").alias("office"),
+        of("SolicitudSiara").alias("request"),
+        F.when(of("AreaDescripcion").isNotNull(), X.subdivision_hint(of("AreaDescripcion"))).otherwise("Unknown").alias("subdivision"),
+        of("FechaPublicacion").alias("published"),
+        of("DiasPlazo").alias("term"),
+        text(F.col("_r.AutoridadNombre")).alias("authority"),
+        X.measure_hint(F.coalesce(seized, F.lit(False)), orders).alias("measure"),
+        F.nullif(F.array_join(F.array_distinct(X.every(F.coalesce(orders, F.lit("")), X.ACCOUNT)), ","), F.lit("")).alias("accounts"),
+        text(first["Domicilio"]).alias("address"),
+        F.nullif(F.concat_ws(" ", text(first["Paterno"]), text(first["Materno"]), text(first["Nombre"])), F.lit("")).alias("description"),
+        F.nullif(F.array_join(once, ","), F.lit("")).alias("rfcs"),
+        F.substring(F.upper(F.get(curps, F.lit(0))), 1, 18).alias("curp"),
+    )
+
+
+#: Fixed value: a population number that may lack its check digits.
+CURP_LOOSE = r"(?i)\b([A-Z]{4}[0-9]{6}[A-Z0-9]{6}(?:[0-9]{2})?)\b"
+
+
 def case_key(path: Column) -> Column:
     """The last folder of a path or address, in lower case; else the file's name, else the whole."""
     bare = F.regexp_replace(F.regexp_replace(path, r"^[a-z]+://", ""), r"[?#].*$", "")
@@ -88,8 +153,17 @@ def first_entries(journal: DataFrame, keys: tuple[str, ...] = ("digest", "url"),
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """case_id and formats of an expected-cases file, one JSON object a line."""
-    return spark.read.schema("case_id string, formats array<string>").json(path)
+    """case_id and formats of expected cases, from files of one JSON object a line ({"case_id", "formats"}) or from whole
+    objects ({"oficios": [{"caseId", "expectedFormats"}]}). Of the latter a missing id is empty, and a format that isn't
+    a known name is Unknown."""
+    entry = "array<struct<caseId: string, expectedFormats: array<string>>>"
+    raw = spark.read.schema(f"case_id string, formats array<string>, oficios {entry}").option("multiLine", _is_whole(spark, path)).json(path)
+    whole = raw.where("oficios is not null").select(F.explode("oficios").alias("o")).select(F.coalesce("o.caseId", F.lit("")).alias("case_id"), F.transform(F.coalesce("o.expectedFormats", F.array().cast("array<string>")), lambda f: F.when(f.isin(*FORMATS), f).otherwise("Unknown")).alias("formats"))
+    return raw.where("oficios is null").select("case_id", "formats").unionByName(whole)
+
+
+def _is_whole(spark: SparkSession, path: str) -> bool:
+    return spark.read.text(path).where(F.col("value").contains('"oficios"')).limit(1).count() > 0
 
 
 def text_layer(rows: DataFrame, extract, content: str = "content") -> DataFrame:
