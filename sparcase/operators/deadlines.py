@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import kept
+
 #: Levels of escalation, and the hours left at which they begin.
 NONE, WARNING, CRITICAL, BREACHED = 0, 1, 2, 3
 CRITICAL_HOURS, WARNING_HOURS = 4, 24
@@ -59,7 +61,7 @@ def retention(rows: DataFrame, now: Column, time: str = "ts", archive_days: int
 def batches(rows: DataFrame, size: int, order: str) -> DataFrame:
     """rows with the number of their batch of `size` in order, numbered within ranges of the order so that no task sees
     all rows: ranks by range are summed up to offsets first."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    ranged = kept(rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", F.expr("coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0)").alias("_o"))
     numbered = ranged.withColumn("_r", F.expr(f"row_number() over (partition by _p order by {order})"))

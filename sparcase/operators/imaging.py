@@ -9,6 +9,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import kept
+
 #: Thresholds of the levels 1 (poor) to 4 (good) and 5 (pristine).
 PRISTINE, POOR, MEDIUM, LOW = 5, 1, 2, 3
 GOOD = 4
@@ -87,12 +89,12 @@ def pareto_front(rows: DataFrame, *costs: str) -> DataFrame:
     the first, then compared by a running minimum over the first cost."""
     first, second = costs
     best = rows.groupBy(first).agg(F.min(second).alias(second))
-    ranged = best.repartitionByRange(F.col(first)).withColumn("_p", F.spark_partition_id())
+    ranged = kept(best.repartitionByRange(F.col(first)).withColumn("_p", F.spark_partition_id()))
     lows = ranged.groupBy("_p").agg(F.min(second).alias("_low"))
     before = lows.select("_p", F.expr("min(_low) over (order by _p rows between unbounded preceding and 1 preceding)").alias("_before"))
     running = F.expr(f"min({second}) over (partition by _p order by {first} rows between unbounded preceding and 1 preceding)")
-    kept = ranged.withColumn("_run", running).join(F.broadcast(before), "_p").where(F.col(second) < F.coalesce(F.least("_run", "_before"), F.lit(float("inf"))))
-    return rows.join(kept.select(first, second), [first, second], "left_semi")
+    front = ranged.withColumn("_run", running).join(F.broadcast(before), "_p").where(F.col(second) < F.coalesce(F.least("_run", "_before"), F.lit(float("inf"))))
+    return rows.join(front.select(first, second), [first, second], "left_semi")
 
 
 def train_polynomial(rows: DataFrame, features: list[str], label: str, degree: int = 2, ridge: float = 1.0):

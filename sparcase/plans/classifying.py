@@ -183,7 +183,11 @@ def cla22_annotations(spark, d):
     return I.observations(spark, d).select("case_id", "source", F.explode(m).alias("field", "value"))
 
 
-@query()
+@query(
+    f"""{_D}, o AS (SELECT *, upper(text) AS r, {_ONE} AS kind, ({_ONEC})::int AS confidence, CASE {' '.join(f'WHEN {_any(chr(117), w)} THEN {chr(39)}{n}{chr(39)}' for n, w in C.RELATIONS)} ELSE 'New' END AS relation FROM h)
+    SELECT case_id, kind, confidence, {_REQ} AS type, relation, (kind = 'Transfer' AND NOT regexp_matches(u, '\\b[0-9]{{18}}\\b'))::int + (kind = 'Unblock' AND NOT {_any('u', ('OFICIO', 'EXPEDIENTE', 'ORDEN', 'ANTERIOR'))})::int
+      + (kind = 'Block' AND NOT regexp_matches(text, '(?i)cuenta\\s+[0-9]{{4,}}') AND NOT contains(text, '$'))::int + (confidence < 70)::int AS n_warnings FROM o"""
+)
 def cla23_decision_chain(spark, d):
     """Notices to directives, actions, warnings and requirement types, in one pass."""
     t = F.col("text")

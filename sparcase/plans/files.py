@@ -65,7 +65,7 @@ def src14_tables(spark, d):
     return one("orders").unionByName(one("events")).unionByName(one("pages"))
 
 
-@query()
+@query(f"WITH p AS (SELECT page_id, html, {_PARTS} AS ps FROM pages) SELECT page_id, CASE WHEN ltrim(html) LIKE '<%' THEN 'xml' END AS format, '2024/03/01/' || regexp_replace(lower(CASE WHEN len(ps) >= 2 THEN ps[len(ps) - 1] ELSE ps[1] END), '[\\\\/:*?\"<>|]', '_', 'g') || '/' || page_id || '.xml' AS path FROM p")
 def src16_intake(spark, d):
     """Pages as files: format by first bytes, fields, safe names and dated paths."""
     p = table(spark, d, "pages")
@@ -73,9 +73,10 @@ def src16_intake(spark, d):
     return p.select("page_id", kind.alias("format"), E.dated_path(F.to_date(F.lit("2024-03-01")), C.case_key(F.col("url")), F.concat(F.col("page_id").cast("string"), F.lit(".xml"))).alias("path"))
 
 
-@query()
+@query("""SELECT o_orderkey AS case_id, '<Expediente>' || chr(10) || '    <NumeroExpediente>A/AS1-' || o_orderkey || '</NumeroExpediente>' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '    <Prioridad>' || replace(replace(replace(trim(o_orderpriority), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</Prioridad>' || chr(10) END
+  || '    <Estado>' || o_orderstatus || '</Estado>' || chr(10) || '</Expediente>' AS xml FROM orders""")
 def snk01_case_xml(spark, d):
-    """Regulator records, blank elements left out; the tests pin one."""
+    """Regulator records, blank elements left out."""
     fields = {"NumeroExpediente": F.concat(F.lit("A/AS1-"), F.col("o_orderkey").cast("string")), "Prioridad": F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority")), "Estado": F.col("o_orderstatus")}
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), E.case_xml(fields).alias("xml"))
 

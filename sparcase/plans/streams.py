@@ -42,10 +42,11 @@ def str04_12_unique(spark, d):
     return _written(spark, E.unique(twice, "event_id", late="60 days")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT strftime(time_bucket(interval 6 hours, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, round(avg(value), 6) AS mean_seconds FROM events GROUP BY time_bucket(interval 6 hours, ts) HAVING time_bucket(interval 6 hours, ts) + interval 6 hours <= (SELECT max(ts) - interval 1 hour FROM events)")
 def str10_windows(spark, d):
     """Six-hour windows as a stream writes them: those that the watermark has passed."""
-    return _written(spark, E.windows(_stream(spark, d), "6 hours"))
+    w = _written(spark, E.windows(_stream(spark, d), "6 hours"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "total", "succeeded", F.round("mean_seconds", 6).alias("mean_seconds"))
 
 
 @query("SELECT strftime(time_bucket(interval 6 hours, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded FROM events GROUP BY 1")

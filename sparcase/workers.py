@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: dict[str, bool] = {}
@@ -49,3 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
     return known
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, written to the shared folder and read from there: whatever is derived from it sees the same rows in
+    the same partitions."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
