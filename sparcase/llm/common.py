@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import shared_folder, ship
+from ..workers import kept, ship
 
 #: Text handed to Python code at once; bounds a worker's memory whatever the row count of an Arrow batch.
 BLOCK_CHARS = 4_000_000
@@ -62,8 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Lost executors cost nothing: the files are in the shared folder. They stay there, unless the session was started with
     spark.cleaner.referenceTracking.cleanCheckpoints, which removes those of frames no longer used."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def few(df: DataFrame, rows: int, each: int = 4_096) -> DataFrame:
