@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import strip_accents
 from ..functions.sequence import common_length, letter_places
 from ..functions.validate import blank
+from ..workers import kept
 
 
 def clean_rfc(c: Column) -> Column:
@@ -117,20 +118,33 @@ def _close_pairs(a: list[tuple[int, str]], b: list[tuple[int, str]] | None, thre
     return out
 
 
-def _seeds(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The seed of each name that is like an earlier one: pairs (later, earlier) in order, the first that is a seed."""
-    seed: dict[int, int] = {}
-    for later, earlier in sorted(zip(pdf["later"], pdf["earlier"])):
-        if later not in seed and earlier not in seed:
-            seed[later] = earlier
-    return pd.DataFrame(sorted(seed.items()), columns=["place", "seed"])
+def _seeds(pairs: DataFrame) -> DataFrame:
+    """place and seed of names that are like an earlier one that is a seed: the first such. A name is a seed if none of the
+    earlier names that it is like is one.
+
+    Decided in rounds: names whose earlier names are all decided, or among which there is a seed, are decided themselves.
+    Any number of names is decided at once, so no task holds a type."""
+    pairs = kept(pairs.select("later", "earlier").distinct())
+    decided = kept(pairs.select(F.col("earlier").alias("place")).distinct().join(pairs.select(F.col("later").alias("place")).distinct(), "place", "left_anti").withColumn("is_seed", F.lit(True)))
+    open_ = pairs.select(F.col("later").alias("place")).distinct()
+    while True:
+        seen = pairs.join(open_, F.col("later") == F.col("place"), "left_semi").join(decided.select(F.col("place").alias("earlier"), "is_seed"), "earlier", "left")
+        told = seen.groupBy(F.col("later").alias("place")).agg(F.max(F.coalesce("is_seed", F.lit(False))).alias("has_seed"), F.min(F.col("is_seed").isNotNull()).alias("all_known"))
+        new = kept(told.where("has_seed or all_known").select("place", (~F.col("has_seed")).alias("is_seed")))
+        if new.isEmpty():
+            break
+        decided = kept(decided.unionByName(new))
+        open_ = kept(open_.join(new, "place", "left_anti"))
+    seeds = decided.where("is_seed").select(F.col("place").alias("earlier"))
+    others = decided.where("not is_seed").select(F.col("place").alias("later"))
+    return pairs.join(others, "later", "left_semi").join(seeds, "earlier", "left_semi").groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("seed"))
 
 
 def cluster_names(rows: DataFrame, threshold: int = 85, shortest: int = 0, block: int = NAME_BLOCK) -> DataFrame:
     """rows (place, type, name) with the place of the name's seed, clustered greedily in order within a type.
 
     All distinct names of a type are compared: they are dealt over blocks, and each pair of blocks is a group of its own.
-    The greedy step sees nothing but the pairs that are alike. A null name counts as empty."""
+    The greedy step sees nothing but the pairs that are alike. Places are distinct. A null name counts as empty."""
     key = F.coalesce(comparable_name(F.col("name")), F.lit(""))
     keyed = rows.withColumn("key", key)
     first = keyed.groupBy("type", "key").agg(F.min("place").alias("place"))
@@ -147,8 +161,7 @@ def cluster_names(rows: DataFrame, threshold: int = 85, shortest: int = 0, block
         return pd.DataFrame({"kind": [pdf["kind"].iloc[0]] * len(found), "later": [x[0] for x in found], "earlier": [x[1] for x in found]}, dtype="int64")
 
     close = pairs.groupBy("type", "low", "high").applyInPandas(alike, "kind long, later long, earlier long")
-    found = close.groupBy("kind").applyInPandas(_seeds, "place long, seed long")
-    named = first.join(found, "place", "left").select("type", "key", F.coalesce("seed", "place").alias("seed"))
+    named = first.join(_seeds(close), "place", "left").select("type", "key", F.coalesce("seed", "place").alias("seed"))
     return keyed.join(named, ["type", "key"]).drop("key")
 
 

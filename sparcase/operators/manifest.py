@@ -36,14 +36,24 @@ def differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
 
 
-def best_matches(left: DataFrame, right: DataFrame, score: Column, key: str, least: float = 0.7) -> DataFrame:
+#: Rows of a right side that is broadcast; a longer one is dealt over blocks of so many rows.
+SHORT = 10_000
+
+
+def best_matches(left: DataFrame, right: DataFrame, score: Column, key: str, least: float = 0.7, short: int = SHORT) -> DataFrame:
     """For each left row (key, ...) the right row (place, ...) of the highest score, the first of equals.
 
-    A comparison of all with all, so the right side is a list of field names: it is broadcast, and refused beyond 10,000
-    rows."""
-    if right.limit(10_001).count() > 10_000:
-        raise ValueError("the right side of best_matches is for short lists")
-    pairs = left.join(F.broadcast(right), score >= least)
+    A score may be anything, so every left row is compared with every right one; only pairs that reach `least` come out.
+    A right side of up to `short` rows, the usual list of field names, is broadcast. A longer one is dealt over blocks,
+    and left rows go to each of them, so that no task holds more of it than a block."""
+    n = right.limit(short + 1).count()
+    if n <= short:
+        pairs = left.join(F.broadcast(right), score >= least)
+    else:
+        blocks = -(-right.count() // short)
+        dealt = right.withColumn("_block", F.pmod(F.xxhash64("place"), F.lit(blocks)))
+        spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = spread.join(dealt, (spread["_block"] == dealt["_block"]) & (score >= least)).drop("_block")
     best = F.max_by(F.struct(*(F.col(c) for c in right.columns)), F.struct(score.alias("s"), (-F.col("place")).alias("p")))
     return pairs.groupBy(*left.columns).agg(best.alias("best"), F.max(score).alias("score"))
 

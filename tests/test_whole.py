@@ -9,7 +9,7 @@ from sparcase.catalog import QUERIES
 from sparcase.functions import normalize as N
 from sparcase.functions import sequence
 from sparcase.functions import similarity as S
-from sparcase.operators import identity
+from sparcase.operators import identity, manifest
 from sparcase.plans import inputs
 from sparcase.plans import text as text_plans
 
@@ -96,3 +96,11 @@ def test_clusters_like_brute_force(spark):
         for block in (1000, 9):
             got = {r["place"]: r["seed"] for r in identity.cluster_names(df, threshold, block=block).collect()}
             assert got == slow_clusters(rows, threshold)
+
+
+def test_best_matches_of_any_size(spark):
+    left = spark.createDataFrame([(f"name{i}",) for i in range(12)], "field string")
+    right = spark.createDataFrame([(i, f"name{i % 20}x") for i in range(60)], "place long, name string")
+    similarity = S.similarity(F.col("field"), F.col("name"))
+    got = [sorted(map(tuple, manifest.best_matches(left, right, similarity, "field", short=short).select("field", "best.place", "score").collect())) for short in (100, 7)]
+    assert got[0] == got[1] == sorted((f"name{i}", i, 1 - 1 / (5 + len(str(i)))) for i in range(12))
