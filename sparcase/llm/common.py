@@ -36,7 +36,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def give_back() -> None:
-    """Returns memory that a worker no longer uses to the system, so that the next task finds it."""
+    """Returns memory that a worker, or the driver, no longer uses to the system, so that the next task finds it."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
@@ -65,7 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
-def few(df: DataFrame, rows: int, each: int = 4_096) -> DataFrame:
+def few(df: DataFrame, rows: int, each: int = 16_384) -> DataFrame:
     """df in as few partitions as its number of rows asks for, so that small tables don't leave many small files behind
     each exchange. Larger tables keep all that the exchange made. For rows of at most some hundred bytes, not for texts,
     and not above Python steps."""

@@ -133,7 +133,9 @@ def shingle_weights(docs: DataFrame, floor: float = FLOOR) -> np.ndarray:
             n = int(x[0])
         else:
             df[row["block"] : row["block"] + len(x)] = x
-    return log_weights_of(df, n, floor)
+    weights = log_weights_of(df, n, floor)
+    common.give_back()
+    return weights
 
 
 def log_weights_of(df: np.ndarray, n: int, floor: float = FLOOR) -> np.ndarray:

@@ -254,7 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: in
     data = data.groupBy("doc_id", "quality").agg(F.min("vector").alias("vector")).toPandas()  # a row an id, so at most fit_rows
     data = data.sort_values(["quality", "vector"], kind="stable")
     x = np.frombuffer(b"".join(data["vector"]), dtype=np.float32).reshape(-1, 2 * SIZE + 1)
-    return vectors, fit(x, data["quality"].to_numpy())
+    net = fit(x, data["quality"].to_numpy())
+    del data, x
+    common.give_back()
+    return vectors, net
 
 
 def _score(batches: Iterator[pa.RecordBatch], vectors, net: Network, threshold: float, rows: bool) -> Iterator[pa.RecordBatch]:
