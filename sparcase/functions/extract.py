@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The patterns of what is extracted.
-RFC_ANY = r"(?i)\b[A-ZÑ&]{3,4}[0-9]{6}[A-Z0-9]{3}\b"
+RFC_ANY = r"(?iu)\b[A-ZÑ&]{3,4}[0-9]{6}[A-Z0-9]{3}\b"
 CURP_STRICT = r"(?i)\b[A-Z][AEIOUX][A-Z]{2}[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[HM][A-Z]{2}[B-DF-HJ-NP-TV-Z]{3}[A-Z0-9][0-9]\b"
 ACCOUNT = r"\b[0-9]{6,}\b"
 ACCOUNT_NAMED = r"(?i)cuenta\s+([0-9]{4,})"
@@ -16,10 +16,10 @@ NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?"
 AMOUNTS = (
     rf"(?i)\$\s*({NUMBER})",
     rf"(?i)(?:monto|cantidad|importe|suma)\s+(?:de\s+)?\$?\s*({NUMBER})",
-    rf"(?i)({NUMBER})\s+(?:pesos|d[oó]lares)",
+    rf"(?iu)({NUMBER})\s+(?:pesos|d[oó]lares)",
     r"(?i)([0-9]{1,3}(?:,[0-9]{3}){2,}(?:\.[0-9]{2})?)",
 )
-MONEY_WORD = r"(?i)monto|cantidad|importe|pesos|dolares|dólares"
+MONEY_WORD = r"(?iu)monto|cantidad|importe|pesos|dolares|dólares"
 PARTIAL = r"(?i)\b(?:parcial|hasta\s+por\s+el\s+monto|hasta\s+por\s+un\s+monto|importe\s+de)\b"
 CASE_REFERENCE = r"(?i)\b([A-Z0-9]{1,20}(?:[/\-][A-Z0-9\-]{1,20}){2,})\b"
 DATE_ISO = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
@@ -28,10 +28,10 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 DATE_SPANISH = rf"(?i)\b([0-9]{{1,2}}\s+de\s+(?:{'|'.join(MONTHS)})\s+de\s+[0-9]{{4}})\b"
 DOCUMENT_TYPES = (
     ("Estado de cuenta", r"(?i)\bestados?\s+de\s+cuenta\b"),
-    ("Identificación", r"(?i)\b(?:identificaci[oó]n|INE|IFE|credencial\s+de\s+elector)\b"),
+    ("Identificación", r"(?iu)\b(?:identificaci[oó]n|INE|IFE|credencial\s+de\s+elector)\b"),
     ("Comprobante de domicilio", r"(?i)\bcomprobante\s+de\s+domicilio\b"),
     ("Contrato", r"(?i)\bcontrato\b"),
-    ("Muestra de firma", r"(?i)\b(?:muestra\s+de\s+firma|firma\s+de\s+muestra|tarjet[oó]n\s+de\s+firma)\b"),
+    ("Muestra de firma", r"(?iu)\b(?:muestra\s+de\s+firma|firma\s+de\s+muestra|tarjet[oó]n\s+de\s+firma)\b"),
     ("Cheque", r"(?i)\bcheque\b"),
     ("Expediente de apertura", r"(?i)\bexpediente\s+de\s+apertura\b"),
 )
@@ -40,28 +40,28 @@ INSTRUMENTS = ("Acuerdo", "Ley", "Circular")
 CASE_TEXT = r"[A-Z]/[A-Z]{1,4}[0-9]*[ \t]*[-–][ \t]*[0-9]+[ \t]*[-–][ \t]*[0-9]+[ \t]*[-–][ \t]*[A-Z]+"
 CASE_OCR = r"[A-Z]/[A-Zl]{1,4}[0-9O]*[ \t]*[-–][ \t]*[0-9O]+[ \t]*[-–][ \t]*[0-9O]+[ \t]*[-–][ \t]*[A-Z]+"
 OFFICE = r"[A-Z]{4,}[A-Z0-9]{0,10}/[0-9]{4}/[0-9]{6}"
-OFFICE_LABELLED = r"(?i)(?:No\.\s*De\s*Identificaci[óo]n|N[úu]mero\s*de\s*Oficio)\s*[:：]?\s*([A-Z0-9/]+)"
-CAUSE = r"(?i)causa\s*[:：]?\s*([^\n\r]+)"
-ACTION = r"(?i)acci[óo]n\s+solicitada\s*[:：]?\s*([^\n\r]+)"
-APPLICANT_LABEL = r"(?i)Autoridad\s+solicitante\s*[:\-–—]?\s*[^\w\r\n]?\s*([^\r\n]+)"
-TAX_SERVICE = r"(?i)SAT\s*[-–]\s*Servicio\s+de\s+Administraci[oó]n\s+Tributaria"
+OFFICE_LABELLED = r"(?iu)(?:No\.\s*De\s*Identificaci[óo]n|N[úu]mero\s*de\s*Oficio)\s*[:：]?\s*([A-Z0-9/]+)"
+CAUSE = r"(?iu)causa\s*[:：]?\s*([^\n\r]+)"
+ACTION = r"(?iu)acci[óo]n\s+solicitada\s*[:：]?\s*([^\n\r]+)"
+APPLICANT_LABEL = r"(?iu)Autoridad\s+solicitante\s*[:\-–—]?\s*[^\w\r\n]?\s*([^\r\n]+)"
+TAX_SERVICE = r"(?iu)SAT\s*[-–]\s*Servicio\s+de\s+Administraci[oó]n\s+Tributaria"
 AUTHORITIES = ("Comisión Nacional Bancaria y de Valores", "Administración General de Auditoría Fiscal Federal")
 ACRONYMS = ("AGAFF", "CNBV", "SAT")
 HONORIFIC = r"(?:Mtro\.|Mtra\.|Lic\.|Ing\.|Dr\.|Dra\.|C\.)\s+([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+)"
 TITLE = r"(?:Vicepresidente|Director|Administrador|Secretario|Titular)\s+(?:de|del)?\s+[^\n]+\n([A-ZÁÉÍÓÚÑ].+)"
 EMAIL = r"(?i)[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]{2,}"
-PHONE_LABELLED = r"(?i)(?:Tel[ée]fono|Tel\.?)\s*[:：]?\s*(\(?[0-9]{2}\)?\s*[0-9]{4}-[0-9]{4})"
+PHONE_LABELLED = r"(?iu)(?:Tel[ée]fono|Tel\.?)\s*[:：]?\s*(\(?[0-9]{2}\)?\s*[0-9]{4}-[0-9]{4})"
 PHONE = r"\(?[0-9]{2}\)?\s*[0-9]{4}-[0-9]{4}"
 POSTCODE = r"(?i)C\.?P\.?\s*([0-9]{5})"
-ADDRESS = r"(?i)([^\n]*(?:Av\.|Ave\.|Calle|Col\.|Colonia|C\.P\.|CP|Ciudad|Del\.|Delegaci[óo]n|Municipio)[^\n]*(?:\n[^\n]*){0,3})"
-ARTICLES = r"(?i)art[íi]culos?\s+([0-9]+(?:\s*(?:y|,)\s*[0-9]+)*(?:\s+fracci[óo]n\s+[IVXLCDM]+)?(?:\s+de\s+.+?(?:ley|reglamento|c[óo]digo))?)[,\.]?"
-OFFICE_UNIT = r"(?i)(?:DIRECCI[ÓO]N|DEPARTAMENTO|MESA|TURNO|SECRETAR[ÍI]A)\s+(?:GENERAL|ESPECIAL|DE|DEL)?\s+[A-Z\s]+"
-PUBLISHED = r"(?i)(?:Fecha\s+de\s+Publicaci[óo]n|Publicado)\s*[:：]?\s*([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})"
-TERM = r"(?i)(?:plazo\s+de|en|dentro\s+de)\s+([0-9]{1,3})\s+d[íi]as?"
-SEIZED = r"(?i)aseguramiento|embargo|bloqueo|retenci[óo]n|inmovilizaci[óo]n|congelamiento"
-RELEASED = r"(?i)desbloqueo|liberaci[óo]n|dejar sin efectos"
+ADDRESS = r"(?iu)([^\n]*(?:Av\.|Ave\.|Calle|Col\.|Colonia|C\.P\.|CP|Ciudad|Del\.|Delegaci[óo]n|Municipio)[^\n]*(?:\n[^\n]*){0,3})"
+ARTICLES = r"(?iu)art[íi]culos?\s+([0-9]+(?:\s*(?:y|,)\s*[0-9]+)*(?:\s+fracci[óo]n\s+[IVXLCDM]+)?(?:\s+de\s+.+?(?:ley|reglamento|c[óo]digo))?)[,\.]?"
+OFFICE_UNIT = r"(?iu)(?:DIRECCI[ÓO]N|DEPARTAMENTO|MESA|TURNO|SECRETAR[ÍI]A)\s+(?:GENERAL|ESPECIAL|DE|DEL)?\s+[A-Z\s]+"
+PUBLISHED = r"(?iu)(?:Fecha\s+de\s+Publicaci[óo]n|Publicado)\s*[:：]?\s*([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})"
+TERM = r"(?iu)(?:plazo\s+de|en|dentro\s+de)\s+([0-9]{1,3})\s+d[íi]as?"
+SEIZED = r"(?iu)aseguramiento|embargo|bloqueo|retenci[óo]n|inmovilizaci[óo]n|congelamiento"
+RELEASED = r"(?iu)desbloqueo|liberaci[óo]n|dejar sin efectos"
 AREAS = ("ASEGURAMIENTO", "HACENDARIO", "JUDICIAL")
-PDF_AUTHORITIES = (r"(?i)(?:SUBDELEGACION|SUBDELEGACIÓN)\s+[0-9]+\s+[A-Z\s]+", r"(?i)(?:ADMINISTRACION|ADMINISTRACIÓN)\s+[A-Z\s]+", r"(?i)(?:UNIDAD|OFICINA)\s+[A-Z\s]+")
+PDF_AUTHORITIES = (r"(?iu)(?:SUBDELEGACION|SUBDELEGACIÓN)\s+[0-9]+\s+[A-Z\s]+", r"(?iu)(?:ADMINISTRACION|ADMINISTRACIÓN)\s+[A-Z\s]+", r"(?iu)(?:UNIDAD|OFICINA)\s+[A-Z\s]+")
 STANDARD_LABELS = ("Expediente No", "Expediente:", "Oficio:", "Oficio No", "Autoridad:", "Causa:", "Acción Solicitada:", "Accion Solicitada:")
 
 
@@ -119,7 +119,7 @@ def amount(text: Column) -> Column:
         longest = F.array_max(F.transform(money, lambda p: F.length(p["whole"])))
         found.append(F.get(F.filter(money, lambda p: F.length(p["whole"]) == longest), F.lit(0)))
     best = F.coalesce(*found)
-    currency = F.when(best.isNull(), None).when(text.rlike(r"(?i)\bd[oó]lares\b"), "USD").when(text.rlike(r"(?i)\bpesos\b") | best["whole"].contains("$"), "MXN")
+    currency = F.when(best.isNull(), None).when(text.rlike(r"(?iu)\bd[oó]lares\b"), "USD").when(text.rlike(r"(?iu)\bpesos\b") | best["whole"].contains("$"), "MXN")
     return F.struct(F.replace(best["number"], F.lit(","), F.lit("")).cast("decimal(18,2)").alias("value"), currency.alias("currency"))
 
 
@@ -216,9 +216,9 @@ def pdf_fields(text: Column) -> dict[str, Column]:
         "rfcs": F.array_distinct(every(text, r"[A-ZÑ&]{3,4}[0-9]{6}[A-Z0-9]{3}")),
         "names": F.slice(F.array_distinct(F.transform(every(text, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"), F.trim)), 1, 10),
         "dates": F.array_distinct(F.array_compact(F.concat(*(_dates_by(text, p, f) for p, f in ((r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy"), (r"[0-9]{2}-[0-9]{2}-[0-9]{4}", "dd-MM-yyyy"), (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "yyyy-MM-dd")))))),
-        "references": F.array_distinct(F.transform(F.concat(every(text, r"(?i)(?:Referencia|REF|Ref\.?)\s*:?\s*[A-Z0-9/-]+"), every(text, r"(?i)(?:Artículo|Art\.?)\s+[0-9]+"), every(text, r"(?i)Ley\s+[A-Z0-9]+")), F.trim)),
+        "references": F.array_distinct(F.transform(F.concat(every(text, r"(?iu)(?:Referencia|REF|Ref\.?)\s*:?\s*[A-Z0-9/-]+"), every(text, r"(?iu)(?:Artículo|Art\.?)\s+[0-9]+"), every(text, r"(?iu)Ley\s+[A-Z0-9]+")), F.trim)),
         "amounts": F.array_distinct(F.transform(every(text, rf"\$?\s*({NUMBER})", 1), lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("decimal(18,2)"))),
-        "action": F.coalesce(F.trim(first(text, r"(?i)acci[óo]n(?: solicitada)?\s*:?\s*([^\n]+)", 1)), F.trim(first(text, r"(?i)solicita\s+([^\n]+?)(?:\n|\.|$)", 1)), F.trim(F.substring(text, 1, 200))),
+        "action": F.coalesce(F.trim(first(text, r"(?iu)acci[óo]n(?: solicitada)?\s*:?\s*([^\n]+)", 1)), F.trim(first(text, r"(?iu)solicita\s+([^\n]+?)(?:\n|\.|$)", 1)), F.trim(F.substring(text, 1, 200))),
     }
 
 
@@ -231,10 +231,10 @@ def structured_fields(text: Column) -> dict[str, Column]:
     return {
         "case_number": F.upper(first(text, r"(?i)([A-Z]/[A-Z]{1,4}[0-9]+-[0-9]+-[0-9]+-[A-Z]+)", 1)),
         "cause": F.trim(first(text, r"(?i)Causa\s*:?\s*([^\n\r.]{5,100})", 1)),
-        "action": F.trim(first(text, r"(?i)Acci[óo]n\s+Solicitada\s*:?\s*([^\n\r.]{5,100})", 1)),
+        "action": F.trim(first(text, r"(?iu)Acci[óo]n\s+Solicitada\s*:?\s*([^\n\r.]{5,100})", 1)),
         "office": first(text, r"([0-9]{1,4}-[0-9]{1,2}-[0-9]{5,10}/[0-9]{4})", 1),
         "clabe": first(text, CLABE_ANY, 1),
-        "account": first(text, r"(?i)(?:Cuenta|Account)\s*(?:No\.?|Número)?:?\s*([0-9]{10,16})", 1),
+        "account": first(text, r"(?iu)(?:Cuenta|Account)\s*(?:No\.?|Número)?:?\s*([0-9]{10,16})", 1),
         "amounts": F.transform(every(text, r"(?i)\$\s*([0-9,]+(?:\.[0-9]{2})?)\s*(?:MXN|USD|EUR|CAD)?", 1), lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("decimal(18,2)")),
     }
 
@@ -317,11 +317,11 @@ def scored_case_numbers(text: Column, least: float = 0.6) -> Column:
 #: Kinds of requirements, and the words that open each.
 REQUIREMENTS = (
     (r"(?im)(?:REQUERIMIENTO|REQUISITO|SOLICITUD)[\s:]+(.+?)(?=\n|REQUERIMIENTO|REQUISITO|SOLICITUD|$)"),
-    (r"(?im)(?:BLOQUEO|BLOQUEAR)[\s:]+(.+?)(?=\n|DESBLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|INFORMACIÓN|$)"),
-    (r"(?im)(?:DESBLOQUEO|DESBLOQUEAR)[\s:]+(.+?)(?=\n|BLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|INFORMACIÓN|$)"),
-    (r"(?im)(?:TRANSFERENCIA|TRANSFERIR)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|DOCUMENTACIÓN|INFORMACIÓN|$)"),
-    (r"(?im)(?:DOCUMENTACIÓN|DOCUMENTO)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|TRANSFERENCIA|INFORMACIÓN|$)"),
-    (r"(?im)(?:INFORMACIÓN|INFORMAR)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|$)"),
+    (r"(?ium)(?:BLOQUEO|BLOQUEAR)[\s:]+(.+?)(?=\n|DESBLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|INFORMACIÓN|$)"),
+    (r"(?ium)(?:DESBLOQUEO|DESBLOQUEAR)[\s:]+(.+?)(?=\n|BLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|INFORMACIÓN|$)"),
+    (r"(?ium)(?:TRANSFERENCIA|TRANSFERIR)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|DOCUMENTACIÓN|INFORMACIÓN|$)"),
+    (r"(?ium)(?:DOCUMENTACIÓN|DOCUMENTO)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|TRANSFERENCIA|INFORMACIÓN|$)"),
+    (r"(?ium)(?:INFORMACIÓN|INFORMAR)[\s:]+(.+?)(?=\n|BLOQUEO|DESBLOQUEO|TRANSFERENCIA|DOCUMENTACIÓN|$)"),
 )
 
 

@@ -12,7 +12,7 @@ RFC = r"^(_)?[A-Z]{3,4}[0-9]{6}[A-Z0-9]{3}$"
 CURP = r"^[A-Z]{4}[0-9]{6}[HM][A-Z]{5}[A-Z0-9]{2}$"
 CASE_NUMBER = r"^[A-Z]/[A-Z0-9]+(-[A-Z0-9]+)+-[A-Z]+$"
 CLABE = r"^[0-9]{18}$"
-PERSON_RFC = r"(?i)^[A-Z&Ñ]{3,4}[0-9]{6}[A-Z0-9]{3}$"
+PERSON_RFC = r"(?iu)^[A-Z&Ñ]{3,4}[0-9]{6}[A-Z0-9]{3}$"
 PERSON_CURP = r"(?i)^[A-Z][AEIOU][A-Z]{2}[0-9]{6}[HM][A-Z]{5}[A-Z0-9][0-9]$"
 GATE_CASE = r"^[A-Z]/[A-Z]{1,4}[0-9]*[-–][0-9]+[-–][0-9]+[-–][A-Z]+$"
 GATE_OFFICE = r"^[A-Z]{4,}[A-Z0-9]{0,10}/[0-9]{4}/[0-9]{6}$"
