@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ ACRONYMS = ("AGAFF", "CNBV", "SAT")
 HONORIFIC = r"(?:Mtro\.|Mtra\.|Lic\.|Ing\.|Dr\.|Dra\.|C\.)\s+([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+)"
 TITLE = r"(?:Vicepresidente|Director|Administrador|Secretario|Titular)\s+(?:de|del)?\s+[^\n]+\n([A-ZÁÉÍÓÚÑ].+)"
 EMAIL = r"(?i)[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]{2,}"
+#: The same, tried only where a run of its characters begins.
+EMAIL_RUN = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++@[a-z0-9.-]+\.[a-z]{2,}"
 PHONE_LABELLED = r"(?iu)(?:Tel[ée]fono|Tel\.?)\s*[:：]?\s*(\(?[0-9]{2}\)?\s*[0-9]{4}-[0-9]{4})"
 PHONE = r"\(?[0-9]{2}\)?\s*[0-9]{4}-[0-9]{4}"
 POSTCODE = r"(?i)C\.?P\.?\s*([0-9]{5})"
@@ -66,8 +70,14 @@ STANDARD_LABELS = ("Expediente No", "Expediente:", "Oficio:", "Oficio No", "Auto
 
 
 def first(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match, or its group; null if there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The first match, or its group; null if there is none. The pattern is tried once."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), F.lit(0))
+
+
+def has(text: Column, *words: str) -> Column:
+    """Whether any of the words, in small letters, is in the text, whatever its case: a cheap test before a pattern."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (low.contains(w) for w in words))
 
 
 def every(text: Column, pattern: str, group: int = 0) -> Column:
@@ -179,30 +189,37 @@ def case_number(text: Column) -> Column:
 
 def authority(text: Column) -> Column:
     """By label, by name, then by acronym outside of addresses."""
-    labelled = F.nullif(F.trim(F.regexp_replace(F.trim(first(text, APPLICANT_LABEL, 1)), r"^\*+|\*+$", "")), F.lit(""))
-    named = [F.when(F.lower(text).contains(a.lower()), F.lit(a)) for a in AUTHORITIES]
-    short = [F.when(text.rlike(rf"(?i)(?<![@.])\b{a}\b(?!\.gob\.mx)"), F.lit(a)) for a in ACRONYMS]
-    return F.coalesce(labelled, F.when(text.rlike(TAX_SERVICE), F.lit("SAT")), *named, *short)
+    labelled = F.when(has(text, "autoridad"), F.trim(F.regexp_replace(F.trim(first(text, APPLICANT_LABEL, 1)), r"^\*+|\*+$", "")))
+    labelled = F.get(F.filter(F.array(labelled), lambda x: x != ""), F.lit(0))
+    named = [F.when(has(text, a.lower()), F.lit(a)) for a in AUTHORITIES]
+    short = [F.when(has(text, a.lower()) & text.rlike(rf"(?i)(?<![@.])\b{a}\b(?!\.gob\.mx)"), F.lit(a)) for a in ACRONYMS]
+    return F.coalesce(labelled, F.when(has(text, "servicio") & text.rlike(TAX_SERVICE), F.lit("SAT")), *named, *short)
+
+
+#: Words that a case's seizure or release is told by.
+SEIZING = ("aseguramiento", "embargo", "bloqueo", "retención", "retencion", "inmovilización", "inmovilizacion", "congelamiento")
+RELEASING = ("desbloqueo", "liberación", "liberacion", "dejar sin efectos")
 
 
 def text_fields(text: Column) -> dict[str, Column]:
-    """All fields of a case's plain text."""
+    """All fields of a case's plain text. A pattern is only tried where a word that it needs is in the text."""
+    if_ = lambda words, c: F.when(has(text, *words), c)
     return {
         "case_number": case_number(text),
-        "cause": F.trim(first(text, CAUSE, 1)),
-        "action": F.trim(first(text, ACTION, 1)),
-        "office": F.coalesce(first(text, OFFICE), F.trim(first(text, OFFICE_LABELLED, 1))),
+        "cause": if_(("causa",), F.trim(first(text, CAUSE, 1))),
+        "action": if_(("solicitada",), F.trim(first(text, ACTION, 1))),
+        "office": F.coalesce(first(text, OFFICE), if_(("identificaci", "oficio"), F.trim(first(text, OFFICE_LABELLED, 1)))),
         "authority": authority(text),
-        "unit": F.trim(first(text, OFFICE_UNIT)),
-        "applicant": F.coalesce(F.trim(first(text, HONORIFIC, 1)), F.trim(first(text, TITLE, 1))),
-        "email": F.lower(first(text, EMAIL)),
-        "phone": F.coalesce(F.trim(first(text, PHONE_LABELLED, 1)), first(text, PHONE)),
-        "address": F.replace(F.trim(first(text, ADDRESS)), F.lit("\n"), F.lit(" ")),
-        "postcode": first(text, POSTCODE, 1),
-        "legal_basis": F.nullif(F.array_join(F.transform(every(text, ARTICLES, 1), lambda a: F.concat(F.lit("Art. "), F.trim(a))), "; "), F.lit("")),
-        "published": first(text, PUBLISHED, 1),
-        "term_days": first(text, TERM, 1).cast("int"),
-        "seized": F.when(text.rlike(SEIZED), True).when(text.rlike(RELEASED), False),
+        "unit": if_(("direcci", "departamento", "mesa", "turno", "secretar"), F.trim(first(text, OFFICE_UNIT))),
+        "applicant": F.coalesce(if_(("mtro.", "mtra.", "lic.", "ing.", "dr.", "dra.", "c."), F.trim(first(text, HONORIFIC, 1))), F.when(text.contains("\n"), F.trim(first(text, TITLE, 1)))),
+        "email": F.when(text.contains("@"), F.lower(first(text, EMAIL_RUN))),
+        "phone": F.coalesce(if_(("tel",), F.trim(first(text, PHONE_LABELLED, 1))), first(text, PHONE)),
+        "address": if_(("av.", "ave.", "calle", "col.", "colonia", "c.p.", "cp", "ciudad", "del.", "delegaci", "municipio"), F.replace(F.trim(first(text, ADDRESS)), F.lit("\n"), F.lit(" "))),
+        "postcode": if_(("p.", "cp", "c.p"), first(text, POSTCODE, 1)),
+        "legal_basis": if_(("culo",), F.nullif(F.array_join(F.transform(every(text, ARTICLES, 1), lambda a: F.concat(F.lit("Art. "), F.trim(a))), "; "), F.lit(""))),
+        "published": if_(("publica",), first(text, PUBLISHED, 1)),
+        "term_days": if_(("día", "dia"), first(text, TERM, 1).cast("int")),
+        "seized": F.when(has(text, *SEIZING), True).when(has(text, *RELEASING), False),
     }
 
 

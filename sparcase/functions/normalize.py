@@ -33,12 +33,14 @@ def strip_accents(c: Column) -> Column:
 
 
 def sanitize(c: Column) -> Column:
-    """A field's text: entities and line breaks become spaces, runs of spaces one; remarks and blanks are null."""
+    """A field's text: entities and line breaks become spaces, runs of spaces one; remarks and blanks are null. A text with
+    nothing to put right is told by one pattern."""
     text = F.regexp_replace(c, r"^\s+|\s+$", "")
     for entity in ("&nbsp;", "&amp;nbsp;", "&lt;", "&gt;", "&amp;"):
         text = F.regexp_replace(text, f"(?i){entity}", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\r\n|\n|\r", " "), " {2,}", " "))
-    return F.when(F.upper(text).isin(REMARKS) | text.rlike("^[ _]*$"), F.lit(None)).otherwise(text)
+    text = F.when(c.rlike(r"[&\r\n]|  |^\s|\s$"), text).otherwise(c)
+    return F.get(F.filter(F.array(text), lambda t: ~(F.upper(t).isin(REMARKS) | t.rlike("^[ _]*$"))), F.lit(0))
 
 
 def sanitize_amount(c: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import spread
 from .registry import table
 
 DIRECTIVES = (
@@ -42,7 +43,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyMMdd")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     letters = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (k % 20 + 1).cast("int"), F.when(k % 3 == 0, 3).otherwise(4))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         k.alias("case_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 7 == 0, F.concat(F.lower(letters), day, F.lit("X1"), pad(k % 10, 1))).otherwise(F.concat(letters, day, F.lit("X1"), pad(k % 10, 1))).alias("rfc"),
         F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("PEGJ"), day, F.when(k % 2 == 0, "H").otherwise("M"), F.lit("DFRRN0"), pad(k % 10, 1))).alias("curp"),
@@ -89,7 +90,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(". Acuerdo "), (k % 900 + 1).cast("string"), F.lit("/2021 y Ley "), (k % 90 + 1).cast("string"), F.lit("/2019"),
         F.lit(". Plazo de "), (k % 20 + 1).cast("string"), F.lit(" días. Correo: caso"), k.cast("string"), F.lit("@Ejemplo.gob.mx Tel. 55 1234-"), pad(k % 10000, 4), F.lit(" C.P. 0"), pad(k % 10000, 4),
     )
-    return table(spark, sf_dir, "orders").select(k.alias("case_id"), text.alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(k.alias("case_id"), text.alias("text"))
 
 
 NOTICES = f"""notices AS (SELECT o_orderkey AS case_id, {_sql_list(DIRECTIVES)}[o_orderkey % {len(DIRECTIVES)} + 1]
@@ -121,7 +122,7 @@ FIELDS = (
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three observations of each case, sources 1 (XML), 2 (PDF) and 3 (DOCX), with the figures of their extraction."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    orders = table(spark, sf_dir, "orders").withColumn("source", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    orders = spread(table(spark, sf_dir, "orders")).withColumn("source", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     s = F.col("source")
     return orders.select(
         k.alias("case_id"),

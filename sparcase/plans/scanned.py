@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import statements as T
 from ..functions.pixels import METRICS, pixel_metrics
 from ..sources import cases as C
-from ..workers import shared_folder
+from ..workers import shared_folder, spread
 from . import inputs as I
 from .registry import query, table
 
@@ -26,7 +26,7 @@ def _pages(spark, d):
         F.lit(""),
         F.concat(F.lit("HSBC y Banco Norte\nexpediente 77/"), k, F.lit("\n\nEXPEDIENTE: 88/"), k, F.lit("\n"), slashes),
     )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+    return spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("case_id"), F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
 
 
 @query(
@@ -159,4 +159,4 @@ def src05_xml_fields(spark, d):
         F.when(k % 4 == 0, "").otherwise("<Cnbv_AreaDescripcion>OPERACIONES ILÍCITAS</Cnbv_AreaDescripcion>"), F.lit("<Cnbv_FechaPublicacion>"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</Cnbv_FechaPublicacion><Cnbv_DiasPlazo>"), (k % 30).cast("string"),
         F.lit("</Cnbv_DiasPlazo><AutoridadNombre>SAT</AutoridadNombre><TieneAseguramiento>"), F.when(k % 2 == 0, "true").otherwise("false"), F.lit("</TieneAseguramiento><SolicitudPartes><Rfc>PEPA800101AB1</Rfc></SolicitudPartes><SolicitudPartes><Rfc> </Rfc></SolicitudPartes>"), special, F.lit("</Expediente>"),
     )
-    return C.xml_fields(table(spark, d, "orders").select(k.alias("case_id"), xml.alias("xml"))).drop("xml")
+    return C.xml_fields(spread(table(spark, d, "orders")).select(k.alias("case_id"), xml.alias("xml"))).drop("xml")

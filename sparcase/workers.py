@@ -56,3 +56,10 @@ def kept(df: DataFrame) -> DataFrame:
     the same partitions."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it would be read by less than a quarter as many tasks: a small table in one file. Any
+    other stays as it is read. For what takes long per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
