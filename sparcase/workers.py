@@ -59,7 +59,9 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it would be read by less than a quarter as many tasks: a small table in one file. Any
-    other stays as it is read. For what takes long per row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+    """df over all cores, where it is no more than one task reads at once: a small table, of which a file's only row group
+    would else be one task's work. Any other stays as it is read. For what takes long per row."""
+    spark = df.sparkSession
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
