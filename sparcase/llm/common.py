@@ -13,15 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import kept, ship
+from ..workers import kept, ship, spread
 
 #: Text handed to Python code at once; bounds a worker's memory whatever the row count of an Arrow batch.
 BLOCK_CHARS = 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the data folder, through Spark's own reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of the data folder, through Spark's own reader only. A small file of texts is spread over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
