@@ -21,6 +21,7 @@ class Rules:
     by_line: bool
     entities: tuple[str, ...] = ()
     amounts: tuple[str, ...] = ()
+    date_by_line: bool = True
 
 
 #: The patterns of each engine's rules.
@@ -41,6 +42,14 @@ WHOLE = Rules(
     entities=(r"(BBVA\s+MEXICO)", r"(BANCO EJEMPLO)", r"(SANTANDER)", r"(HSBC)", r"(SCOTIABANK)", r"(BANORTE)", r"(CITIBANK)", r"(BANCO\s+\w+)"),
     amounts=(r"\$\s*([0-9,]+\.?[0-9]*)", r"PESOS\s+([0-9,]+\.?[0-9]*)", r"MXN\s*([0-9,]+\.?[0-9]*)"),
 )
+BATCH = Rules(
+    dates=(r"FECHA[:\s]*([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})", r"FECHA[:\s]*([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})", r"([0-9]{1,2}\s+DE\s+\w+\s+DE\s+[0-9]{4})", r"([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})"),
+    authorities=(r"(CONDUSEF)", r"(CNBV)", r"(CNSF)", r"(BANXICO)", r"(COMISION\s+NACIONAL\s+BANCARIA)", r"(COMISION\s+NACIONAL.*SEGUROS)", r"(PODER\s+JUDICIAL)", r"(JUZGADO.*DE.*)"),
+    numbers=(r"EXPEDIENTE[:\s]*([A-Z0-9\-/]+)", r"EXP(?:EDIENTE)?[:.\s]*([A-Z0-9\-/]+)", r"OFICIO[:\s]*([A-Z0-9\-/]+)"),
+    kinds=(r"(REQUERIMIENTO\s+DE\s+INFORMACION)", r"(REQUERIMIENTO)", r"(SOLICITUD\s+DE\s+INFORMACION)", r"(OFICIO)", r"(CITATORIO)", r"(RESOLUCION)"),
+    by_line=False,
+    date_by_line=False,
+)
 BRIEF = Rules(
     dates=(r"(?i)FECHA[:\s]+([0-9]{4}-[0-9]{2}-[0-9]{2})", r"([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})", r"([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})"),
     authorities=(r"(CONDUSEF)", r"(CNBV)", r"(CNSF)", r"(BANXICO)"),
@@ -70,7 +79,7 @@ def scanned_fields(text: Column, rules: Rules) -> dict[str, Column]:
     """date, authority, number, kind, amount, currency and entities of a page's text by the given rules.
 
     The rules of LINEWISE and BRIEF take the first line that holds a field (BRIEF the last line for the number), those of
-    WHOLE the page's lines run together in capitals, but for the date. An authority is one of the acronyms. Null counts as
+    WHOLE and BATCH the page's lines run together in capitals, WHOLE but for the date. Null counts as
     empty; a field that isn't there is null."""
     lines = _lines(F.coalesce(text, F.lit("")))
     upper = F.transform(lines, F.upper)
@@ -80,7 +89,7 @@ def scanned_fields(text: Column, rules: Rules) -> dict[str, Column]:
     value = F.try_element_at(F.filter(F.transform(found, lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("double")), lambda a: a.isNotNull()), F.lit(1))
     entities = F.array_sort(F.array_distinct(F.flatten(F.array(*(every(whole, p, 1) for p in rules.entities))))) if rules.entities else F.array().cast("array<string>")
     return {
-        "date": _first_line(upper if not rules.by_line else lines, rules.dates),
+        "date": _first_line(lines if rules.by_line else upper, rules.dates) if rules.date_by_line else seek(rules.dates),
         "authority": seek(rules.authorities),
         "number": _first_line(lines, rules.numbers, last=True) if rules is BRIEF else seek(rules.numbers),
         "kind": seek(rules.kinds),

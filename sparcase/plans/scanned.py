@@ -35,13 +35,14 @@ def _pages(spark, d):
           CASE v WHEN 0 THEN 'SOLICITUD' WHEN 1 THEN 'REQUERIMIENTO DE INFORMACIÓN' END AS kind, CASE v WHEN 0 THEN x END AS amount, '' AS entities FROM o
         UNION ALL SELECT 'whole', case_id, CASE v WHEN 0 THEN iso WHEN 1 THEN dd || ' DE ENERO DE ' || yy WHEN 3 THEN slashes END, CASE v WHEN 0 THEN 'CNBV' WHEN 1 THEN 'BANXICO' END, CASE v WHEN 0 THEN 'A/' || k WHEN 1 THEN 'B-' || k WHEN 3 THEN '77/' || k END,
           CASE v WHEN 0 THEN 'SOLICITUD' WHEN 1 THEN 'REQUERIMIENTO' END, CASE WHEN v < 2 THEN x END, CASE v WHEN 3 THEN 'BANCO NORTE,HSBC' ELSE '' END FROM o
+        UNION ALL SELECT 'batch', case_id, CASE v WHEN 0 THEN iso WHEN 1 THEN dd || ' DE ENERO DE ' || yy END, CASE v WHEN 0 THEN 'CNBV' WHEN 1 THEN 'BANXICO' END, CASE v WHEN 0 THEN 'A/' || k WHEN 1 THEN 'B-' || k WHEN 3 THEN '77/' || k END, CASE v WHEN 0 THEN 'OFICIO' WHEN 1 THEN 'REQUERIMIENTO' END, NULL, '' FROM o
         UNION ALL SELECT 'brief', case_id, CASE v WHEN 0 THEN iso WHEN 3 THEN slashes END, CASE v WHEN 0 THEN 'CNBV' WHEN 1 THEN 'BANXICO' END, CASE v WHEN 0 THEN 'A/' || k WHEN 3 THEN '88/' || k END, CASE v WHEN 0 THEN 'SOLICITUD' WHEN 1 THEN 'REQUERIMIENTO' END, NULL, '' FROM o)
     SELECT *, CASE WHEN amount IS NOT NULL THEN 'MXN' END AS currency FROM f"""
 )
-def ext38_scanned_fields(spark, d):
-    """Fields of pages read by OCR engines, by the rules for each of three."""
+def ext36_38_scanned_fields(spark, d):
+    """Fields of pages read by OCR engines, by the rules for each of three and of batches."""
     rows, out = _pages(spark, d), None
-    for name, rules in (("linewise", T.LINEWISE), ("whole", T.WHOLE), ("brief", T.BRIEF)):
+    for name, rules in (("linewise", T.LINEWISE), ("whole", T.WHOLE), ("batch", T.BATCH), ("brief", T.BRIEF)):
         f = T.scanned_fields(F.col("text"), rules)
         one = rows.select(F.lit(name).alias("engine"), "case_id", *(f[n].alias(n) for n in ("date", "authority", "number", "kind", "amount", "currency")), F.array_join(f["entities"], ",").alias("entities"))
         out = one if out is None else out.unionByName(one)
