@@ -109,12 +109,15 @@ def text_key(text: str | Column = "text") -> Column:
 
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that decisions (doc_id, text_id, kept) keep; of rows alike in doc_id and
-    text, one. Only texts of which a row is dropped are compared, so all others aren't moved."""
-    flagged = flag_members(docs.withColumn("_text", text_key()), "_text", decisions.where("not kept").select(F.col("text_id").alias("_text")))
+    text, one. Only texts of which a row is dropped are compared, so all others aren't moved. A row travels as one value,
+    so that its columns may have any names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = whole.select("row", F.col("row.doc_id").alias("_id"), text_key(F.col("row.text")).alias("_text"))
+    flagged = flag_members(whole, "_text", decisions.where("not kept").select(F.col("text_id").alias("_text")))
     kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_id").alias("_kept_text"))
     some = flagged.where("_maybe")
-    some = some.join(kept, some["doc_id"].eqNullSafe(kept["_kept_id"]) & (some["_text"] == kept["_kept_text"]), "left_semi").dropDuplicates(["doc_id", "_text"])
-    return flagged.where("not _maybe").unionByName(some).drop("_text", "_maybe")
+    some = some.join(kept, some["_id"].eqNullSafe(kept["_kept_id"]) & (some["_text"] == kept["_kept_text"]), "left_semi").dropDuplicates(["_id", "_text"])
+    return flagged.where("not _maybe").unionByName(some).select("row.*")
 
 
 _CACHES: list = []

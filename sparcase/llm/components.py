@@ -24,7 +24,7 @@ def _stars(links: DataFrame, rows: int) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp, the smallest node that it is connected to, of each node with a link.
 
-    Links to oneself and repeated links are ignored. The number of steps grows with the logarithm of the longest chain;
+    Links to oneself, repeated links and links with a null end are ignored; without links there are no rows. The number of steps grows with the logarithm of the longest chain;
     after each, the table is written to the checkpoint folder."""
     now = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = None

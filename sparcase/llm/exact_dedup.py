@@ -110,5 +110,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows alike in doc_id and text, one."""
+    """The rows of docs that stay, with all their columns: of equal texts, empty and null ones being equal, the one with the
+    largest doc_id, null ids counting as the smallest; of rows alike in doc_id and text, one. Columns beyond doc_id and
+    text, whatever their names, come along as they are. An empty table gives an empty one."""
     return common.keep_rows(docs, exact_dedup(docs).withColumn("text_id", F.unhex(F.substring("text_sha256", 1, 32))))

@@ -449,5 +449,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, floor: float = F
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows alike in doc_id and text, one."""
+    """The rows of docs that stay, with all their columns: of each class the one with the smallest doc_id, null ids counting
+    as the largest; of rows alike in doc_id and text, one. Null texts count as empty, and texts without words are alike
+    only if they are equal. Other columns come along as they are. An empty table gives an empty one."""
     return common.keep_rows(docs, near_dedup(docs))

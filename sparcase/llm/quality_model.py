@@ -283,7 +283,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold.
+
+    Null texts are scored as empty ones and stay null; null ids have no label; repeated rows are judged alike. Without
+    labels, or with one label only, all scores are equal, so all rows stay or none does. An empty table gives an empty
+    one."""
     vectors, net = train(docs, labels, fit_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return common.map_batches(docs, partial(_score, vectors=vectors, net=net, threshold=threshold, rows=True), schema)

@@ -80,6 +80,17 @@ def test_exact_dedup(spark):
     assert sorted((r["text"] or "") for r in exact_dedup.keep_one(rows).collect()) == sorted(groups)
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_one, near_dedup.keep_one])
+def test_rows_kept_whole(spark, keep):
+    """Columns of any names, those that the operators use themselves and ones with dots among them, come along as they are."""
+    kinds = "doc_id long, text string, _text string, _maybe int, _h int, _id string, row string, kept boolean, text_id string, `a.b` string, class_id long"
+    rows = [(i, t, f"t{i}", i, i, f"i{i}", "r", False, "x", f"ab{i}", 9) for i, t in ((1, "one two"), (2, "one two"), (3, None), (4, ""), (5, "other"))]
+    out = keep(spark.createDataFrame(rows, kinds))
+    assert out.columns == [c.strip("`") for c in (k.split(" ")[0] for k in kinds.split(", "))]
+    want = {2, 4, 5} if keep is exact_dedup.keep_one else {1, 3, 5}
+    assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] in want]
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     passage = bytes(rng.randrange(97, 123) for _ in range(30_000))
@@ -106,6 +117,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
+def test_components_of_odd_links(spark):
+    links = [(None, "a"), ("a", None), (None, None), ("a", "a"), ("b", "c"), ("c", "b"), ("b", "c")]
+    got = components.components(spark.createDataFrame(links, "a string, b string")).collect()
+    assert sorted(map(tuple, got)) == [("b", "b"), ("c", "b")]
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def copies(spark):
     """Distinct texts, near copies with few words changed, a large group, and rows that only share a passage."""
     rng = random.Random(11)
