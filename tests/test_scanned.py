@@ -53,7 +53,39 @@ def slow_metrics(image):
     flat = [at(i, j) for i, j in cells]
     mean = lambda x: sum(x) / len(x)
     var = lambda x: mean([(v - mean(x)) ** 2 for v in x])
-    return [var(lap), math.sqrt(var(diff)), min(1, math.sqrt(var(flat)) / 127.5), min(1, mean(slope) / 50), math.sqrt(var(flat)), mean(list(map(abs, lap)))]
+    return [var(lap), math.sqrt(var(diff)), min(1, math.sqrt(var(flat)) / 127.5), min(1, mean(slope) / 50), math.sqrt(var(flat)), mean(list(map(abs, lap))), slow_edges(image) / (h * w)]
+
+
+def slow_edges(image):
+    h, w = len(image), len(image[0])
+    px = lambda i, j: image[min(max(i, 0), h - 1)][min(max(j, 0), w - 1)]
+    gx = {(i, j): sum((1, 2, 1)[a + 1] * (px(i + a, j + 1) - px(i + a, j - 1)) for a in (-1, 0, 1)) for i in range(h) for j in range(w)}
+    gy = {(i, j): sum((1, 2, 1)[b + 1] * (px(i + 1, j + b) - px(i - 1, j + b)) for b in (-1, 0, 1)) for i in range(h) for j in range(w)}
+    m = {k: abs(gx[k]) + abs(gy[k]) for k in gx}
+    crest = set()
+    for (i, j), v in m.items():
+        x, y = gx[i, j], gy[i, j]
+        angle = math.degrees(math.atan2(abs(y), abs(x)))
+        if angle < 22.5:
+            di, dj, equal = 0, 1, True
+        elif angle > 67.5:
+            di, dj, equal = 1, 0, True
+        else:
+            di, dj, equal = 1, 1 if (x < 0) == (y < 0) else -1, False
+        a, b = m.get((i - di, j - dj), 0), m.get((i + di, j + dj), 0)
+        if v > 100 and v > a and (v >= b if equal else v > b):
+            crest.add((i, j))
+    todo = [k for k in crest if m[k] > 200]
+    found = set(todo)
+    while todo:
+        i, j = todo.pop()
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                k = (i + a, j + b)
+                if k in crest and k not in found:
+                    found.add(k)
+                    todo.append(k)
+    return len(found)
 
 
 def test_pixels(spark):
@@ -63,6 +95,11 @@ def test_pixels(spark):
         image = [[rng.randrange(256) for _ in range(w)] for _ in range(h)]
         rows.append((10 + k, b"P5\n# a remark\n%d %d\n255\n" % (w, h) + bytes(v for line in image for v in line)))
         want[10 + k] = (w, h, slow_metrics(image))
+    for k, step in enumerate((12, 30)):  # a soft disc, whose edge is partly weak
+        image = [[max(0, min(255, round(128 + step * (6 - math.hypot(i - 9, j - 10))))) for j in range(22)] for i in range(20)]
+        rows.append((30 + k, b"P5 22 20 255\n" + bytes(v for line in image for v in line)))
+        want[30 + k] = (22, 20, slow_metrics(image))
+    assert want[31][2][-1] > 0
     rows.append((20, b"P6 2 1 255\n" + bytes([255, 0, 0, 0, 0, 255])))
     got = {r["k"]: r["m"] for r in spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in rows], "k int, c binary").select("k", pixels.pixel_metrics(F.col("c")).alias("m")).collect()}
     for k, (w, h, m) in want.items():
