@@ -504,7 +504,9 @@ def repeated_runs(rows: DataFrame, depth: int, shard_pages: int, site: int = SIT
         differ(~article).alias("open_differ"), differ(article).alias("differ"), F.max(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("chrome"),
         count(~article).alias("n_open"), count(article).alias("n_articles"), F.max(F.when(article, F.col("host_key"))).alias("host_key"),
     ).where("open_differ or differ")
-    repeats = repeats.join(articles, "host_key", "left")
+    # only runs of articles ask how many the host has; a host with a third of all runs is split over many tasks
+    asked = common.spread_join(repeats.where("differ"), articles, "host_key", how="left")
+    repeats = asked.unionByName(repeats.where("not differ").withColumn("articles", F.lit(None).cast("long")))
     sitewide = (F.col("articles") >= site) & (F.col("n_articles") * 2 > F.col("articles"))
     repeats = repeats.select("a", "b", F.col("open_differ").alias("in_open"), (F.col("differ") & (sitewide | ((F.col("chrome") == 1) & F.col("open_differ")))).alias("in_article"), (F.col("n_open") + F.col("n_articles")).alias("n"))
     runs = common.spread_join(body.select("content", "place", "kind", "a", "b"), repeats, "a", "b").where(F.when(article, F.col("in_article")).otherwise(F.col("in_open")))
