@@ -2,6 +2,8 @@
 
 import itertools
 
+from pyspark.sql import functions as F
+
 from sparcase.operators import fusion
 
 #: Two values of three observations each, alike in all but the value. Their means are equal; sums in doubles differ by order.
@@ -18,3 +20,8 @@ def tied(spark):
 def test_equal_means(spark):
     got = fusion.best_values(tied(spark)).collect()
     assert len(got) == 18 and {(r["value"], r["source"], round(r["confidence"], 9), r["agreement"], r["conflict"]) for r in got} == {("O", "XML", 0.47, 0.5, True)}
+
+
+def test_equal_means_of_routed_fields(spark):
+    got = fusion.match_fields(tied(spark).withColumn("field", F.lit("Estado"))).collect()
+    assert len(got) == 18 and {(r["field"], r["value"], r["agreement"], r["conflict"]) for r in got} == {("Estado", "O", 0.5, True)}
