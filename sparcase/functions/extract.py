@@ -278,20 +278,34 @@ def table_rows(text: Column) -> Column:
     return F.filter(pairs, lambda p: ~F.lower(p["key"]).isin("campo", "field", "key") & (p["key"] != "") & (p["value"] != ""))
 
 
-def section(text: Column, starts: list[str], ends: list[str], header: bool = True) -> Column:
-    """From the earliest start heading to the nearest end heading after it, accents and case aside; null without one.
-    Without `header` the heading at its beginning and colons after it are left out, and null is what has nothing else."""
+def sections(text: Column, starts: list[str], ends: list[str]) -> Column:
+    """struct(whole, body): from the earliest start heading to the nearest end heading after it, accents and case aside; null
+    without one. In the body the heading at its beginning and colons after it are left out, and null is what has nothing
+    else. Each value is computed once a text."""
     from .normalize import strip_accents
 
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    flat = strip_accents(F.upper(text))
-    at = F.array_min(F.filter(F.array(*(F.locate(s, flat) for s in starts)), lambda i: i > 0))
-    stop = F.array_min(F.filter(F.array(*(F.locate(e, F.substr(flat, at + 1)) for e in ends)), lambda i: i > 0))
-    found = strip(F.when(stop.isNotNull(), F.substr(text, at, stop)).otherwise(F.substr(text, at)))
-    if not header:
-        own = F.coalesce(*(F.when(F.startswith(F.upper(found), F.lit(s.upper())), F.lit(len(s))) for s in starts), F.lit(0))
-        found = F.when(own > 0, strip(F.regexp_replace(F.substr(found, own + 1), "^:+", ""))).otherwise(found)
-    return F.when(at.isNotNull(), F.nullif(found, F.lit("")))
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    first = lambda flat, words: F.array_min(F.filter(F.array(*(F.locate(w, flat) for w in words)), lambda i: i > 0))
+    strip = lambda c: F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+    def parts(found: Column) -> Column:
+        own = F.coalesce(*(F.when(F.startswith(F.upper(F.substr(found, F.lit(1), F.lit(len(s)))), F.lit(s.upper())), F.lit(len(s))) for s in starts), F.lit(0))
+        body = let(own, lambda n: F.when(n > 0, strip(F.ltrim(F.substr(found, n + 1), F.lit(":")))).otherwise(found))
+        return F.struct(F.when(found != "", found).alias("whole"), let(body, lambda b: F.when(b != "", b)).alias("body"))
+
+    def cut(place: Column) -> Column:
+        at, stop = place["at"], place["stop"]
+        return let(strip(F.when(stop.isNotNull(), F.substr(text, at, stop)).otherwise(F.substr(text, at))), parts)
+
+    def places(flat: Column) -> Column:
+        return let(first(flat, starts), lambda at: F.struct(at.alias("at"), F.when(at.isNotNull(), let(F.substr(flat, at + 1), lambda rest: first(rest, ends))).alias("stop")))
+
+    return let(let(strip_accents(F.upper(text)), places), cut)
+
+
+def section(text: Column, starts: list[str], ends: list[str], header: bool = True) -> Column:
+    """The whole of sections, or without `header` its body."""
+    return sections(text, starts, ends)["whole" if header else "body"]
 
 
 def keyword_amounts(text: Column, keywords: tuple[str, ...] = ("monto", "importe", "cantidad")) -> Column:

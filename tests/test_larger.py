@@ -4,6 +4,8 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from sparcase.catalog import QUERIES
+from sparcase.functions import extract as X
 from sparcase.operators import fusion
 
 #: Two values of three observations each, alike in all but the value. Their means are equal; sums in doubles differ by order.
@@ -25,3 +27,15 @@ def test_equal_means(spark):
 def test_equal_means_of_routed_fields(spark):
     got = fusion.match_fields(tied(spark).withColumn("field", F.lit("Estado"))).collect()
     assert len(got) == 18 and {(r["field"], r["value"], r["agreement"], r["conflict"]) for r in got} == {("Estado", "O", 0.5, True)}
+
+
+def test_sections_read_each_text_once(spark):
+    plan = QUERIES["ext24_section"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("btrim(") <= 2
+
+
+def test_sections_of_odd_texts(spark):
+    texts = [None, "", "nada", "OFICIO", "rfc::", "x óficio: a ACUERDO b", "RFC 1 oficio 2 plazo", "acuerdo OFICIO\t plazo", "OFICIOACUERDO", " rfc \n: x\x0b", "RFCRFC PLAZO ACUERDO"]
+    want = [(None, None), (None, None), (None, None), ("OFICIO", None), ("rfc::", None), ("óficio: a", "óficio: a"), ("RFC 1 oficio 2", "1 oficio 2"), ("OFICIO", None), ("OFICIO", None), ("rfc \n: x", ": x"), ("RFCRFC", "RFC")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.sections(F.col("t"), ["OFICIO", "RFC"], ["ACUERDO", "PLAZO"]).alias("s"))
+    assert [(r["s"]["whole"], r["s"]["body"]) for r in rows.orderBy("i").collect()] == want
