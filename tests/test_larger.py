@@ -1,12 +1,15 @@
 """What only larger tables or rare rows show."""
 
 import itertools
+import time
 
 from pyspark.sql import functions as F
 
 from sparcase.catalog import QUERIES
 from sparcase.functions import extract as X
-from sparcase.operators import fusion
+from sparcase.functions.sequence import whole_ratio
+from sparcase.operators import fusion, semantic
+from sparcase.plans import inputs
 
 #: Two values of three observations each, alike in all but the value. Their means are equal; sums in doubles differ by order.
 EQUAL = {"F": (0.92, 0.92, 0.98), "O": (0.98, 0.90, 0.94)}
@@ -39,3 +42,31 @@ def test_sections_of_odd_texts(spark):
     want = [(None, None), (None, None), (None, None), ("OFICIO", None), ("rfc::", None), ("óficio: a", "óficio: a"), ("RFC 1 oficio 2", "1 oficio 2"), ("OFICIO", None), ("OFICIO", None), ("rfc \n: x", ": x"), ("RFCRFC", "RFC")]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.sections(F.col("t"), ["OFICIO", "RFC"], ["ACUERDO", "PLAZO"]).alias("s"))
     assert [(r["s"]["whole"], r["s"]["body"]) for r in rows.orderBy("i").collect()] == want
+
+
+def slow_scores(text):
+    """Best scores of all windows with all phrases, none left out."""
+    up, out = text.upper(), {}
+    words = up.split()
+    for p, phrase in enumerate(semantic._ALL):
+        n = len(phrase.split())
+        for size in range(max(1, n - 1), n + 3) if len(phrase) <= len(up) else ():
+            for k in range(len(words) - size + 1):
+                s = whole_ratio(phrase.upper(), " ".join(words[k : k + size])) / 100
+                if s >= semantic.THRESHOLD:
+                    out[p] = max(out.get(p, 0), s)
+    return out
+
+
+def test_phrases_of_many_texts(spark, monkeypatch):
+    """Texts scored together, also in pieces of few words, against each on its own; and what a notice costs."""
+    texts = [r["text"] for r in inputs.notices(spark, "/root/testdata/sf0.001").collect()]
+    began = time.process_time()
+    semantic.PhraseScores(semantic._ALL)(texts)
+    assert (time.process_time() - began) / len(texts) < 400e-6  # one by one it took twice as long
+    odd = ["", " \t", "giro", "x" * 400 + " girar fondos", "desbloqeo  de\ncuentas y giro bancari", "12,345.50 BLOQUEO DE LA CUENTA ß liberación fondos", "estados de\U0001f600 cuenta congelar recursos", "y " * 50 + "embargar cuentas"] + texts[:12]
+    want = [slow_scores(t) for t in odd]
+    reach = lambda found: [{p: s for p, s in f.items() if s >= semantic.THRESHOLD} for f in found]
+    assert sum(map(bool, want)) > 5 and reach(semantic.PhraseScores(semantic._ALL)(odd)) == want
+    monkeypatch.setattr(semantic, "WORDS", 3)
+    assert reach(semantic.PhraseScores(semantic._ALL)(odd)) == want
