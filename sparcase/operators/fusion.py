@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -142,13 +142,17 @@ def best_values(values: DataFrame, keys: tuple[str, ...] = ("case_id",), priorit
 
     Values are equal if their trimmed upper-case forms are. Of groups of equal size the one that comes first by source
     priority and confidence wins, then of equal means the greatest value; its confidence is its mean confidence times its
-    share. Means are compared to twelve decimals, as the order in which rows are added up changes the last bits."""
+    share. The order in which doubles are added up changes the last bits of their mean, so a group's are always added from the
+    highest to the lowest: the result doesn't depend on the order of rows, and is one that some order of rows gives."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(p) for p in priority)), F.col("source")), F.lit(0)), F.lit(1 << 30))
     some = values.where(~blank(F.col("value"))).withColumn("norm", F.upper(F.trim("value")))
     # of a group, the first by priority and confidence; a confidence is compared descending, so it is negated
     lead = F.struct(rank.alias("rank"), (-F.col("confidence")).alias("c"), F.col("place"), F.col("value"), F.col("source"))
-    groups = some.groupBy(*keys, "norm").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.min(lead).alias("lead"))
-    best = F.max(F.struct("n", (-F.col("lead.rank")).alias("r"), (-F.col("lead.c")).alias("c"), (-F.col("lead.place")).alias("p"), F.round("mean", 12).alias("m"), F.col("lead.value").alias("value"), F.col("lead.source").alias("source"), F.col("mean")))
+    # running, so that no group is held in memory; the mean of its last row is that of all
+    down = Window.partitionBy(*keys, "norm").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = some.withColumn("mean", F.avg("confidence").over(down)).withColumn("nth", F.count("*").over(down))
+    groups = some.groupBy(*keys, "norm").agg(F.count("*").alias("n"), F.max_by("mean", "nth").alias("mean"), F.min(lead).alias("lead"))
+    best = F.max(F.struct("n", (-F.col("lead.rank")).alias("r"), (-F.col("lead.c")).alias("c"), (-F.col("lead.place")).alias("p"), F.col("mean"), F.col("lead.value").alias("value"), F.col("lead.source").alias("source")))
     out = groups.groupBy(*keys).agg(best.alias("b"), F.sum("n").alias("total"), F.count("*").alias("groups"))
     share = F.col("b.n") / F.col("total")
     single = F.col("total") == 1
