@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,8 +28,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, with the package importable on the workers."""
     ship(df.sparkSession)
+    operator = getattr(fn, "func", fn).__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(operator)
         yield from fn(batches)
         give_back()
 
@@ -121,18 +123,23 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 _CACHES: list = []
+_OPERATOR: list[str] = [""]
 
 
-def worker_cache(make):
-    """A value of its own for each Python worker and argument. Making one clears those of the other operators, so that a
-    worker holds one operator's tables at a time."""
-    cached = lru_cache(maxsize=1)(make)
+def worker_cache(make=None, size: int = 1):
+    """A value of its own for each Python worker and the last `size` arguments, until the worker turns to another operator."""
+    if make is None:
+        return partial(worker_cache, size=size)
+    cached = lru_cache(maxsize=size)(make)
     _CACHES.append(cached)
+    return cached
 
-    def get(*args):
-        for other in _CACHES:
-            if other is not cached and other.cache_info().currsize:
-                other.cache_clear()
-        return cached(*args)
 
-    return get
+def turn_to(operator: str) -> None:
+    """Before a task of another operator than the last one's, a worker gives up all its tables, whether or not the task needs
+    some of its own, so that it holds one operator's at a time."""
+    if operator != _OPERATOR[0]:
+        _OPERATOR[0] = operator
+        for cached in _CACHES:
+            cached.cache_clear()
+        give_back()

@@ -26,7 +26,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +145,7 @@ def log_weights_of(df: np.ndarray, n: int, floor: float = FLOOR) -> np.ndarray:
     return np.log(floor + (1 - floor) * idf).astype(np.float32)
 
 
-@lru_cache(maxsize=2)
+@common.worker_cache(size=2)
 def _draws(many: int = SAMPLES, bits: int = DRAW_BITS, seed: int = 11) -> tuple[np.ndarray, ...]:
     """r, 1 / r and ln c, r and c being of Gamma(2, 1), and beta, uniform, for each sample and row; odd factors for the rows' hashes."""
     rng = np.random.default_rng(seed)

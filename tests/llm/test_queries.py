@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sparcase.llm import bpe_automaton, html_text, quality_model, secret_scan
+from sparcase.llm import bpe_automaton, common, html_text, packing, quality_model, secret_scan
 from sparcase.llm.queries import QUERIES
 
 from .test_operators import ODD, SF, docs, odd, slow_secrets
@@ -187,3 +188,16 @@ def test_temperature_calibrates():
         some = (p >= low) & (p < low + 0.2)
         assert abs(p[some].mean() - y[2000:][some].mean()) < 0.12
     assert quality_model.fit(x[:50], np.ones(50)).scores(x[:3]).std() < 1e-9
+
+
+def test_a_worker_holds_one_operators_tables(spark):
+    """After texts were packed, a task that needs no table finds none of theirs in its worker."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} that are packed") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.pack(docs).select("doc_id").distinct().count() == 64
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([sum(c.cache_info().currsize for c in common._CACHES)], pa.int64())], names=["n"])
+
+    assert {r["n"] for r in common.map_batches(docs, held, "n long").collect()} == {0}
