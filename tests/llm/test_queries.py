@@ -2,6 +2,10 @@
 
 import hashlib
 import random
+import re
+import time
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -190,6 +194,44 @@ def test_temperature_calibrates():
     assert quality_model.fit(x[:50], np.ones(50)).scores(x[:3]).std() < 1e-9
 
 
+def test_words_of_awkward_texts():
+    """Words, their entries and repetitions against a plain reading, word by word."""
+    texts = ["", " ", "  a  b ", "ΑΣ ΣΑΣ. Σ ΌΣ", "İstanbul Iİ x²y ²² _a_ 1a2 a--b ---- aaaBBB", "a\x1cb\x85c\xa0d e　", "x x x X", None, "̇a ḃ ǅ ß ẞ ÿ Ÿ × ÷ 漢字漢漢 😀😀a", "\x00 \x00\x00 a\x00"]
+    kinds = [("a", "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"), ("0", "0123456789")]
+    entry = lambda s, bits: zlib.crc32(s.encode()) % (1 << bits)
+    word, shape, counts = [], [], []
+    for split in ([w for w in re.split(r"\s+", t or "") if w] for t in texts):
+        counts.append(len(split))
+        for before, w in zip([None, *split], split):
+            word.append(entry("".join(c for c in w if re.match(r"[^\W\d_]", c)).lower(), quality_model.WORD_BITS))
+            shown = [next((k for k, chars in kinds if c in chars), c) for c in w]
+            runs = "".join(c for c, d in zip(shown, [None, *shown]) if c != d)[:8]
+            shape.append((1 << quality_model.WORD_BITS) + entry(runs + "=" * (w == before), quality_model.SHAPE_BITS))
+    for kind in (pa.string(), pa.large_string()):
+        got = quality_model.Words().read(pa.array(["not read", *texts], kind).slice(1))
+        assert [x.tolist() for x in got] == [word, shape, counts]
+
+
+def test_words_hold_and_cost_little():
+    """300,000 distinct words: nothing of them is held afterwards, and reading them costs little more than splitting them."""
+    texts = [" ".join(f"{chr(97 + i % 26)}{i:x}-{k}" for i in range(k * 10_000, (k + 1) * 10_000)) for k in range(30)]
+    words = quality_model.Words()
+    words.read(["one", "two"])
+    began = time.process_time()
+    plain = [len(set(t.split())) for t in texts]
+    split = time.process_time() - began
+    began = time.process_time()
+    got = [len(words.read([t])[0]) for t in texts]
+    assert got == plain == [10_000] * 30
+    assert time.process_time() - began < 12 * split + 0.2
+    tracemalloc.start()
+    for t in texts:
+        words.read([t + "x"])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 4e6
+
+
 def test_a_worker_holds_one_operators_tables(spark):
     """After texts were packed, a task that needs no table finds none of theirs in its worker."""
     docs = spark.createDataFrame([(i, f"some words of text {i} that are packed") for i in range(64)], "doc_id long, text string").repartition(8)
